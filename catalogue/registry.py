@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalogue import matching
+from catalogue import matching, review
 
 QUERIES, ORACLES = {}, {}
-for module in (matching,):
+for module in (matching, review):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
