@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalogue import matching, review
+from catalogue import history, matching, review
 
 QUERIES, ORACLES = {}, {}
-for module in (matching, review):
+for module in (matching, review, history):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
