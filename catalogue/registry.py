@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalogue import building, exporting, history, matching, review
+from catalogue import building, exporting, history, locating, matching, review
 
 QUERIES, ORACLES = {}, {}
-for module in (matching, review, history, building, exporting):
+for module in (matching, review, history, building, exporting, locating):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
