@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.operators import orders, rules, suppliers
 from ledgerloom.params import Params
+from ledgerloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,8 @@ def reconcile(invoices: DataFrame, lines: DataFrame, masters: Masters, params: P
     header = header_review(invoices, lines, masters, params)
     # The assignment needs only the order link, not the supplier cascade.
     links = orders.lookup_orders(invoices.select("stem", "po_number"), masters.purchase_orders)
-    chosen = orders.assign_lines(links, lines, masters.po_lines, params)
+    # Matches and left-over order lines both read the assignment: written once, not computed twice.
+    chosen = materialise(orders.assign_lines(links, lines, masters.po_lines, params), "assignment")
     matches = orders.line_matches(links, lines, masters.po_lines, chosen)
     left_over = orders.unmatched_po_lines(links, masters.po_lines, chosen)
     long = rules.discrepancies(header, lines, matches, left_over)
