@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.winnowing import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.sharding import shard_documents
 
@@ -59,5 +65,8 @@ select r.doc_id, r.size, r.text_crc32, 'bytes' as law, p.shard,
 from rec r join placed p on p.vslot = r.vslot
 """
 
-QUERIES = {"op10_sharding": op10_sharding}
+QUERIES = {
+    "op1_winnowing": op1_winnowing,
+    "op10_sharding": op10_sharding,
+}
 ORACLES = {"op10_sharding": OP10_SQL}
