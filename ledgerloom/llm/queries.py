@@ -16,6 +16,15 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ledgerloom.llm.bpe import encode_documents
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.sharding import shard_documents
 
@@ -67,6 +76,7 @@ from rec r join placed p on p.vslot = r.vslot
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_bpe": op2_bpe,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {"op10_sharding": OP10_SQL}
