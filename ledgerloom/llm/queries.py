@@ -25,6 +25,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.probminhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.sharding import shard_documents
 
@@ -77,6 +83,7 @@ from rec r join placed p on p.vslot = r.vslot
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_bpe": op2_bpe,
+    "op3_near_duplicates": op3_near_duplicates,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {"op10_sharding": OP10_SQL}
