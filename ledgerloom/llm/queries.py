@@ -31,6 +31,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.phrases import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.sharding import shard_documents
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_bpe": op2_bpe,
     "op3_near_duplicates": op3_near_duplicates,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {"op10_sharding": OP10_SQL}
