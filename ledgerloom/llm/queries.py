@@ -31,6 +31,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.phrases import remove_repeats
 
@@ -90,6 +96,7 @@ QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_bpe": op2_bpe,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_language_id": op4_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
 }
