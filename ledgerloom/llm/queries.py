@@ -37,6 +37,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.warc import archive_folder, read_archive, write_archive
+
+    path = archive_folder(spark)
+    write_archive(_table(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.phrases import remove_repeats
 
@@ -97,6 +105,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_language_id": op4_language_id,
+    "op5_warc": op5_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
 }
