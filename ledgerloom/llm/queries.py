@@ -45,6 +45,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.prefix_forest import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.phrases import remove_repeats
 
@@ -106,6 +112,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
+    "op6_nearest": op6_nearest,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
 }
