@@ -51,6 +51,12 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.packing import best_fit
+
+    return best_fit(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.phrases import remove_repeats
 
@@ -113,6 +119,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_nearest": op6_nearest,
+    "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
 }
