@@ -51,6 +51,12 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.packing import best_fit
 
@@ -119,6 +125,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_nearest": op6_nearest,
+    "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,

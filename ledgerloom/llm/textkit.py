@@ -66,11 +66,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words ``[^\\x20\\x09-\\x0D]+`` and, per text, the index of its first word (one more at the end)."""
+def word_spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words and, per text, the index of its first word (one more at the end).
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` unless ``inside`` says which bytes belong to words (it is written over).
+    """
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if inside is None:
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[off] = True
     starts = inside.copy()
