@@ -118,6 +118,12 @@ select r.doc_id, r.size, r.text_crc32, 'bytes' as law, p.shard,
 from rec r join placed p on p.vslot = r.vslot
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_bpe": op2_bpe,
@@ -129,5 +135,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "pipeline": pipeline,
 }
 ORACLES = {"op10_sharding": OP10_SQL}
