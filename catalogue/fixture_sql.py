@@ -112,12 +112,24 @@ CTE["log"] = """
   case when event_id%7=0 then 'operator' else 'system' end as actor
  from events"""
 
+# All orders of a customer as one document: invoices and orders with many lines.
+CTE["clin"] = """
+ select ('cust_' || cast(o_custkey as string)) as stem, ('CUST-' || cast(o_custkey as string)) as po_key,
+  cast(row_number() over (partition by o_custkey order by lin.ok, line_index) - 1 as bigint) as line_index, sku, description, qty, unit_cents, line_cents
+ from lin join orders on o_orderkey=lin.ok"""
+
+CTE["cpol"] = """
+ select ('CUST-' || cast(o_custkey as string)) as po_key,
+  cast(row_number() over (partition by o_custkey order by pol.ok, line_number) - 1 as bigint) as po_pos, sku, description, qty, unit_cents
+ from pol join orders on o_orderkey=pol.ok"""
+
 DEPENDS = {
+    "clin": ["lin"], "cpol": ["pol"],
     "sup": [], "pol": [], "poh": ["pol"], "inv": ["poh", "sup"], "il": ["pol"], "lin": ["il"], "isum": ["il"],
     "hdr": ["inv", "isum"], "po_rows": ["poh"], "pol_rows": ["pol"], "log": [],
 }
 BASE = {
-    "sup": ["supplier"], "pol": ["orders", "lineitem", "part"], "poh": ["orders"], "log": ["events"],
+    "clin": ["orders"], "cpol": ["orders"], "sup": ["supplier"], "pol": ["orders", "lineitem", "part"], "poh": ["orders"], "log": ["events"],
 }
 
 

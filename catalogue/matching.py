@@ -10,6 +10,7 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.functions.similarity import token_sort
 from ledgerloom.operators import orders as O
 from ledgerloom.operators import suppliers as SUP
+from ledgerloom.params import MONEY
 from ledgerloom.plans import reconcile as R
 from ledgerloom.sources import masters as M
 
@@ -367,6 +368,35 @@ def line_substring_match(spark, sf):
     return chosen(spark, sf, "substring").select("stem", "c.line_index", "c.po_pos", (-F.col("c.neg_score")).alias("score"))
 
 
+# The same rule on documents with many lines: every customer's orders as one invoice against one order.
+LARGE = with_views("clin", "cpol") + """,
+  good as (select l.stem, l.line_index, p.po_pos, coalesce(upper(l.sku)=upper(p.sku), false) as sku_equal,
+     case when coalesce(upper(l.sku)=upper(p.sku), false) then 100.0::double else 80.0::double end as score
+     from clin l join cpol p on p.po_key=l.po_key
+     where coalesce(upper(l.sku)=upper(p.sku), false) or contains(lower(p.description), lower(l.description)) or contains(lower(l.description), lower(p.description)))"""
+
+
+def large(spark, sf, method: str):
+    lines, stock = I.view(spark, sf, "clin"), I.view(spark, sf, "cpol")
+    links_ = lines.select("stem", "po_key").distinct().withColumn("po_found", F.lit(True))
+    money = lambda rows, total: rows.withColumns({"quantity": F.col("qty").cast(MONEY), "unit_price": I.cents("unit_cents"), "total": I.cents(total)})
+    mine = money(lines, "line_cents").drop("po_key")
+    theirs = money(stock.withColumn("line_cents", F.col("qty") * F.col("unit_cents")), "line_cents")
+    theirs = theirs.withColumns({"line_number": (F.col("po_pos") + 1).cast("int"), "expected_quantity": F.col("quantity"), "expected_unit_price": F.col("unit_price")})
+    return O.assign_lines(links_, mine, theirs, I.PARAMS, method).select("stem", "c.line_index", "c.po_pos", (-F.col("c.neg_score")).alias("score"))
+
+
+@query("line_substring_large", LARGE + greedy_sql() + " select stem, line_index, po_pos, score from chosen")
+def line_substring_large(spark, sf):
+    return large(spark, sf, "substring")
+
+
+@query("line_assignment_large")
+def line_assignment_large(spark, sf):
+    """Similar descriptions; SQL is too slow for the scores of whole tables, tests compare the operator with brute force."""
+    return large(spark, sf, "similarity")
+
+
 @query("computed_totals", with_views("lin") + """
  select stem, line_index, line_cents as total_cents, computed as total_computed from lin""")
 def computed_totals(spark, sf):

@@ -166,6 +166,7 @@ NAMES = {
     "F25": "rule_po_line_unbilled", "F26": "rule_internal",
 }
 LINE_LEVEL = ("F9", "F22", "F23", "F24", "F25")
+SUPPLIER_LEVEL = ("F17", "F19", "F20")
 
 
 def _register_rule(rule: str, name: str) -> None:
@@ -175,13 +176,28 @@ def _register_rule(rule: str, name: str) -> None:
 
     @query(name, prefix + "\n" + "\n union all ".join(texts))
     def one_rule(spark, sf):
+        # each rule reads only what it needs
         if rule == "F9":
-            found = RU.line_findings(I.lines(spark, sf), I_matches(spark, sf)).select("stem", "f.*")
+            found = RU.negative_line_findings(I.lines(spark, sf))
+        elif rule == "F25":
+            found = RU.unbilled_findings(unbilled(spark, sf))
         elif rule in LINE_LEVEL:
-            found = run(spark, sf).discrepancies
+            found = RU.match_findings(I_matches(spark, sf))
         else:
-            found = header(spark, sf).select("stem", F.explode("findings").alias("f")).select("stem", "f.*")
-        return found.filter(F.col("rule") == rule).select(*OUT)
+            heads = header(spark, sf) if rule in SUPPLIER_LEVEL else header_without_suppliers(spark, sf)
+            found = heads.select("stem", F.explode("findings").alias("f"))
+        return found.select("stem", "f.*").filter(F.col("rule") == rule).select(*OUT)
+
+
+def header_without_suppliers(spark, sf):
+    return R.header_review_without_suppliers(I.invoices(spark, sf), I.lines(spark, sf), I.masters(spark, sf), I.PARAMS)
+
+
+def unbilled(spark, sf):
+    from catalogue.matching import chosen, links
+    from ledgerloom.operators import orders as O
+
+    return O.unmatched_po_lines(links(spark, sf), I.po_lines(spark, sf), chosen(spark, sf))
 
 
 def I_matches(spark, sf):
@@ -236,13 +252,28 @@ def RU_batch(results):
     return batch_totals(results)
 
 
-@query("review_queue", SUMMARY + """
- select stem, sid as supplier_id, total_cents, error_count, warning_count from summary where requires_review
- order by error_count desc, total_cents desc nulls last, stem limit 100""")
+REVIEW = SUMMARY + """
+ select stem, sid as supplier_id, total_cents, error_count, warning_count from summary where requires_review"""
+
+
+@query("review_queue", REVIEW)
 def review_queue(spark, sf):
+    """Every invoice that needs review."""
     from ledgerloom.operators.views import review_queue as rq
 
-    return rq(run(spark, sf).results, 100).select(
+    return _queue(rq(run(spark, sf).results))
+
+
+@query("review_top", REVIEW + " order by error_count desc, total_cents desc nulls last, stem limit 100")
+def review_top(spark, sf):
+    """The hundred most urgent ones."""
+    from ledgerloom.operators.views import review_queue as rq
+
+    return _queue(rq(run(spark, sf).results, 100))
+
+
+def _queue(rows):
+    return rows.select(
         "stem", F.col("matched_supplier.supplier_id").alias("supplier_id"), F.floor(F.col("total") * 100).cast("bigint").alias("total_cents"),
         "error_count", "warning_count",
     )

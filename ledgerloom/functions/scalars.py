@@ -116,13 +116,13 @@ def clean_response(c: Column) -> Column:
 
 
 def round2(c: Column) -> Column:
-    """Half-even to cents on decimals."""
-    return F.bround(c, 2).cast(MONEY)
+    """Half-even to cents on decimals; null where the amount is out of range."""
+    return F.bround(c, 2).try_cast(MONEY)
 
 
 def fmt2(c: Column) -> Column:
     """A decimal with exactly two fraction digits."""
-    return F.round(c, 2).cast("decimal(22,2)").cast("string")
+    return F.round(c, 2).try_cast("decimal(22,2)").cast("string")
 
 
 def plain_number(c: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 _WORD = 64
 _CHUNK = 4096
+#: Characters (rows x longest text) that one vectorised step holds.
+_CELLS = 1 << 20
 
 
 def token_sort(c: Column) -> Column:
@@ -98,8 +100,13 @@ def lcs_pairs(a: pa.Array, b: pa.Array) -> pa.Array:
     a, b = a.take(pa.array(rows)), b.take(pa.array(rows))
     longest = np.maximum(pc.utf8_length(a).to_numpy(), pc.utf8_length(b).to_numpy()) if len(rows) else rows
     order = np.argsort(longest, kind="stable")
-    for start in range(0, len(rows), _CHUNK):
-        part = order[start : start + _CHUNK]
+    start = 0
+    while start < len(rows):
+        end = min(start + _CHUNK, len(rows))
+        while end - start > 1 and int(longest[order[end - 1]]) * (end - start) > _CELLS:
+            end = start + (end - start) // 2
+        part = order[start:end]
+        start = end
         am, al = _codes(a.take(pa.array(part)))
         bm, bl = _codes(b.take(pa.array(part)))
         width = max(am.shape[1], bm.shape[1])

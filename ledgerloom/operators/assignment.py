@@ -1,126 +1,109 @@
-"""One-to-one line assignment for documents too large for one task.
+"""One-to-one line assignment as one sorted pass per document.
 
-The greedy rule (lines in index order, each takes its first free choice) is a stable matching in
-which every order line prefers the lowest line index, so deferred acceptance finds it:
-
-* a line proposes inside a list it shares with its peers: order lines of its SKU (tier 0), then
-  similar descriptions by score and position (tier 1);
-* an order line keeps its lowest proposer, a displaced line becomes free again;
-* peers propose to *different* entries in one round: the k-th free line of a list tries the k-th
-  entry still open to the first of them. The k-1 entries before it are certainly taken when that
-  line's turn comes, because each of its k-1 predecessors takes one of them or a better one.
-
-Lists are keyed by distinct SKU or description, so no line x order-line product is formed; all
-numbering splits large groups; each round is cut by a table in the shared folder.
+The greedy rule is sequential inside a document: lines come in index order and each takes its first free choice, order lines of its SKU
+by position, then similar descriptions by score and position. What it needs to know about the order is little: which positions carry a SKU
+or a description, and which descriptions are similar to which. A document's rows therefore meet in one partition sorted by (stem, kind,
+place): order lines, similar text pairs, invoice lines. The pass keeps, per SKU and per description, the next free position, so every
+position and every exhausted description is stepped over once. Spark sorts with spilling; nothing is gathered into a list value; the number
+of jobs does not depend on the number of lines, and one path serves every size and both ways of comparing texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import truthy
-from ledgerloom.functions.similarity import token_sort
-from ledgerloom.operators.ordinals import numbered
-from ledgerloom.operators.simjoin import similar_pairs
-from ledgerloom.session import materialise
+_ORDER_LINE, _SIMILAR, _LINE = 0, 1, 2
+_OUT = pa.schema(
+    [("stem", pa.string()), ("line_index", pa.int64()), ("po_pos", pa.int64()), ("tier", pa.int32()), ("score", pa.float64())]
+)
+
+
+class _Document:
+    """Free positions of one document's order."""
+
+    def __init__(self) -> None:
+        self.by_sku: dict[str, list[int]] = {}
+        self.by_text: dict[str, list[int]] = {}
+        self.similar: dict[str, list[tuple[float, str]]] = {}
+        self.next: dict[tuple[int, str], int] = {}
+        self.taken: set[int] = set()
+        self.spent: dict[str, int] = {}
+
+    def order_line(self, pos: int, sku: str | None, text: str | None) -> None:
+        if sku is not None:
+            self.by_sku.setdefault(sku, []).append(pos)
+        if text is not None:
+            self.by_text.setdefault(text, []).append(pos)
+
+    def head(self, kind: int, key: str) -> int | None:
+        """The first free position of a SKU (0) or a description (1)."""
+        places = (self.by_text if kind else self.by_sku).get(key, ())
+        at = self.next.get((kind, key), 0)
+        while at < len(places) and places[at] in self.taken:
+            at += 1
+        self.next[kind, key] = at
+        return places[at] if at < len(places) else None
+
+    def choose(self, sku: str | None, text: str | None) -> tuple[int, int, float] | None:
+        """(position, tier, score) for the next line."""
+        if sku is not None and (pos := self.head(0, sku)) is not None:
+            return pos, 0, 100.0
+        options = self.similar.get(text, ()) if text is not None else ()
+        at = self.spent.get(text, 0)
+        while at < len(options):
+            score, best, end = options[at][0], None, at
+            while end < len(options) and options[end][0] == score:
+                pos = self.head(1, options[end][1])
+                best = pos if best is None or pos is not None and pos < best else best
+                end += 1
+            if best is not None:
+                return best, 1, score
+            at = self.spent[text] = end
+        return None
+
 
+def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stem, doc = None, _Document()
+    for batch in batches:
+        out = []
+        for at, kind, place, sku, text, other, score in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != stem:
+                stem, doc = at, _Document()
+            if kind == _ORDER_LINE:
+                doc.order_line(place, sku, text)
+            elif kind == _SIMILAR:
+                doc.similar.setdefault(text, []).append((score, other))
+            elif (choice := doc.choose(sku, text)) is not None:
+                doc.taken.add(choice[0])
+                out.append((stem, place, *choice))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
 
-def _similar_entry() -> Column:
-    """Sort key of a similarity list as one bigint: score descending, then order position.
 
-    Scores are ratios of text lengths; six decimals keep different ratios apart for texts up to
-    several thousand characters.
+def assign(lines: DataFrame, stock: DataFrame, texts: DataFrame) -> DataFrame:
+    """(stem, line_index, po_pos, tier, score).
+
+    ``lines`` (stem, line_index, sku_key, text), ``stock`` (stem, po_pos, sku_key, po_text) and ``texts`` (stem, text, po_text, score), the
+    acceptable pairs of distinct texts; a null SKU or text finds nothing.
     """
-    loss = F.round((F.lit(100.0) - F.col("score")) * 1e6).cast("bigint")
-    return F.shiftleft(loss, 36) + F.col("po_pos")
+    none, no_score = F.lit(None).cast("string"), F.lit(None).cast("double")
 
+    def rows(df: DataFrame, kind: int, place, sku, text, other, score) -> DataFrame:
+        return df.select(
+            "stem", F.lit(kind).alias("kind"), place.cast("bigint").alias("place"), sku.alias("sku"), text.alias("text"),
+            other.alias("other"), score.alias("score"),
+        )
 
-def _entries(lines: DataFrame, offered: DataFrame, threshold: int) -> DataFrame:
-    """Choice lists: (stem, tier, list_key, entry, po_pos, score); ``entry`` orders a list."""
-    sku_keys = lines.filter("sku_key is not null").select("stem", F.col("sku_key").alias("list_key")).distinct()
-    by_sku = (
-        offered.filter("sku_key is not null").select("stem", F.col("sku_key").alias("list_key"), "po_pos")
-        .join(sku_keys, ["stem", "list_key"], "left_semi")
-        .select("stem", F.lit(0).alias("tier"), "list_key", F.col("po_pos").alias("entry"), "po_pos", F.lit(100.0).alias("score"))
-    )
-    mine = lines.filter("text <> ''").select("stem", "text").distinct()
-    theirs = offered.filter("text <> ''").select("stem", F.col("text").alias("po_text")).distinct()
-    texts = similar_pairs(mine, theirs, "text", "po_text", threshold, ["stem"])
-    similar = texts.join(
-        offered.select("stem", F.col("text").alias("po_text"), "po_pos"), ["stem", "po_text"]
-    ).select("stem", F.lit(1).alias("tier"), F.col("text").alias("list_key"), "po_pos", "score")
-    by_text = similar.withColumn("entry", _similar_entry())
-    return by_sku.unionByName(by_text.select(*by_sku.columns))
-
-
-def assign_large(lines: DataFrame, offered: DataFrame, threshold: int) -> DataFrame:
-    """(stem, line_index, po_pos, tier, score) of the greedy assignment, by distributed rounds."""
-    prepared = materialise(
-        lines.select(
-            "stem", F.col("line_index").cast("bigint").alias("line_index"),
-            F.upper(truthy(F.col("sku"))).alias("sku_key"),
-            F.when(truthy(F.col("description")).isNotNull(), token_sort(F.col("description"))).alias("text"),
-        ),
-        "assign-lines",
-    )
-    stock = offered.select(
-        "stem", F.col("po_pos").cast("bigint").alias("po_pos"), F.upper(truthy(F.col("sku"))).alias("sku_key"),
-        token_sort(F.col("description")).alias("text"),
-    )
-    entries = materialise(_entries(prepared, stock, threshold), "assign-entries")
-    state = prepared.select(
-        "stem", "line_index", "sku_key", "text", F.when(F.col("sku_key").isNotNull(), 0).otherwise(1).alias("tier"),
-        F.lit(None).cast("bigint").alias("held"), F.lit(None).cast("double").alias("score"),
+    c = F.col
+    every = (
+        rows(stock, _ORDER_LINE, c("po_pos"), c("sku_key"), c("po_text"), none, no_score)
+        .unionByName(rows(texts, _SIMILAR, F.lit(0), none, c("text"), c("po_text"), c("score")))
+        .unionByName(rows(lines, _LINE, c("line_index"), c("sku_key"), c("text"), none, no_score))
     )
-    state = materialise(state, "assign-state")
-    list_key = F.when(F.col("tier") == 0, F.col("sku_key")).otherwise(F.col("text"))
-    keys = ["stem", "tier", "list_key"]
-
-    while True:
-        free = state.filter("held is null and tier < 2").withColumn("list_key", list_key)
-        if not free.take(1):
-            break
-        holders = state.filter("held is not null").select(
-            "stem", F.col("held").alias("po_pos"), F.col("line_index").alias("holder")
-        )
-        queue = numbered(free.select(*keys, "line_index"), keys, "line_index", "k")
-        first = free.groupBy(*keys).agg(F.min("line_index").alias("first_line"))
-        open_entries = (
-            entries.join(first, keys)
-            .join(holders, ["stem", "po_pos"], "left")
-            .filter("holder is null or holder > first_line")
-        )
-        options = numbered(open_entries, keys, "entry", "k")
-        proposals = queue.join(options.select(*keys, "k", "po_pos", "holder", "score"), [*keys, "k"], "left")
-        tried = proposals.filter("po_pos is not null and (holder is null or holder > line_index)")
-        winners = (
-            tried.groupBy("stem", "po_pos")
-            .agg(F.min(F.struct("line_index", "score")).alias("w"), F.max("holder").alias("displaced"))
-            .select("stem", "po_pos", F.col("w.line_index").alias("line_index"), F.col("w.score").alias("new_score"), "displaced")
-        )
-        moves = (
-            winners.select("stem", "line_index", F.col("po_pos").alias("new_held"), "new_score", F.lit(False).alias("drop"))
-            .unionByName(
-                winners.filter("displaced is not null").select(
-                    "stem", F.col("displaced").alias("line_index"), F.lit(None).cast("bigint").alias("new_held"),
-                    F.lit(None).cast("double").alias("new_score"), F.lit(False).alias("drop"),
-                )
-            )
-            .unionByName(
-                proposals.filter("po_pos is null").select(
-                    "stem", "line_index", F.lit(None).cast("bigint").alias("new_held"),
-                    F.lit(None).cast("double").alias("new_score"), F.lit(True).alias("drop"),
-                )
-            )
-        )
-        state = materialise(
-            state.join(moves, ["stem", "line_index"], "left").select(
-                "stem", "line_index", "sku_key", "text",
-                F.when(F.col("drop"), F.col("tier") + 1).otherwise(F.col("tier")).alias("tier"),
-                F.when(F.col("drop").isNull(), F.col("held")).otherwise(F.col("new_held")).alias("held"),
-                F.when(F.col("drop").isNull(), F.col("score")).otherwise(F.col("new_score")).alias("score"),
-            ),
-            "assign-state",
-        )
-    return state.filter("held is not null").select("stem", "line_index", F.col("held").alias("po_pos"), "tier", "score")
+    # similar texts come by falling score
+    order = every.repartition(c("stem")).sortWithinPartitions("stem", "kind", "place", "text", c("score").desc(), "other")
+    return order.mapInArrow(_pass, "stem string, line_index bigint, po_pos bigint, tier int, score double")

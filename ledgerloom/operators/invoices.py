@@ -72,6 +72,15 @@ def response_lines(parsed: DataFrame) -> DataFrame:
     )
 
 
+def amount_failures(lines: DataFrame) -> DataFrame:
+    """Documents with a line whose quantity x price is out of range, with the first such line as the reason."""
+    gross = F.col("quantity") * F.col("unit_price")
+    bad = lines.filter(F.col("total").isNull() & gross.isNotNull() & round2(gross).isNull())
+    return bad.groupBy("stem").agg(F.min("line_index").alias("i")).select(
+        "stem", F.concat(F.lit("amount out of range in line item "), (F.col("i") + 1).cast("string")).alias("error")
+    )
+
+
 def parse_failures(parsed: DataFrame) -> DataFrame:
     """Documents whose response holds no usable JSON object."""
     return parsed.filter("r is null").select("stem", F.lit("response is not a valid JSON object").alias("error"))

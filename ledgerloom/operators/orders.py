@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import blank_to_null, order_key, truthy, within, within_pct
 from ledgerloom.functions.similarity import lcs_length, may_reach, reaches, score, token_sort
-from ledgerloom.operators.assignment import assign_large
+from ledgerloom.operators.assignment import assign
 from ledgerloom.params import Params
 
 
@@ -50,22 +50,8 @@ def linked(invoices: DataFrame) -> DataFrame:
     return invoices.filter("po_found").select("stem", "po_key")
 
 
-def oversized(links: DataFrame, lines: DataFrame, po_lines: DataFrame, limit: int) -> DataFrame:
-    """Stems whose line-pair product exceeds ``limit``. Two partial aggregates, no pairs."""
-    per_po = po_lines.groupBy("po_key").agg(F.count(F.lit(1)).alias("n_po"))
-    per_doc = lines.groupBy("stem").agg(F.count(F.lit(1)).alias("n_lines"))
-    return (
-        links.join(per_po, "po_key").join(per_doc, "stem")
-        .filter(F.col("n_po") * F.col("n_lines") > F.lit(limit)).select("stem", "po_key")
-    )
-
-
 def pair_lines(links: DataFrame, lines: DataFrame, po_lines: DataFrame) -> DataFrame:
-    """Invoice line x order line inside a document, for documents of bounded size.
-
-    Order lines travel to their document first, so that pairing, scoring and the per-document fold
-    all share the partitioning by ``stem``.
-    """
+    """Invoice line x order line inside a document: every pair, for looking at scores. The assignment works on distinct texts instead."""
     offered = links.join(
         po_lines.select(
             "po_key", "po_pos", F.col("line_number").alias("po_line_number_raw"),
@@ -126,65 +112,37 @@ def _candidate(params: Params) -> Column:
     )
 
 
-def fold_assign(candidates: DataFrame) -> DataFrame:
-    """Greedy one-to-one choice per document of bounded size: (stem, candidate).
-
-    Candidates sorted by line, tier, score and order position; a line takes its first candidate
-    whose order line is still free.
-    """
-    kind = candidates.schema["c"].dataType.simpleString()
-    start = F.struct(
-        F.lit(-1).cast("bigint").alias("line"),
-        F.array().cast("array<bigint>").alias("used"),
-        F.array().cast(f"array<{kind}>").alias("taken"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        free = (x["line_index"] != acc["line"]) & ~F.array_contains(acc["used"], x["po_pos"])
-        return F.when(
-            free,
-            F.struct(
-                x["line_index"].alias("line"), F.array_append(acc["used"], x["po_pos"]).alias("used"),
-                F.array_append(acc["taken"], x).alias("taken"),
-            ),
-        ).otherwise(acc)
-
-    per_doc = candidates.groupBy("stem").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    return per_doc.select("stem", F.explode(F.aggregate("cs", start, step)["taken"]).alias("c"))
+def text_pairs(lines: DataFrame, stock: DataFrame, method: str, threshold: int) -> DataFrame:
+    """Acceptable pairs of distinct texts of a document: (stem, text, po_text, score)."""
+    mine = lines.filter("text is not null").select("stem", "text").distinct()
+    theirs = stock.filter("po_text is not null").select("stem", F.col("stem").alias("__stem"), "po_text").distinct().drop("stem")
+    same = F.col("stem") == F.col("__stem")
+    if method == "substring":
+        hit = F.contains("po_text", "text") | F.contains("text", "po_text")
+        return mine.join(theirs, same & hit).select("stem", "text", "po_text", F.lit(80.0).alias("score"))
+    la, lb = F.length("text"), F.length("po_text")
+    near = mine.join(theirs, same & may_reach(la, lb, threshold)).withColumn("lcs", lcs_length(F.col("text"), F.col("po_text")))
+    return near.filter(reaches(F.col("lcs"), la, lb, threshold)).select("stem", "text", "po_text", score(F.col("lcs"), la, lb).alias("score"))
 
 
 def assign_lines(
     invoices: DataFrame, lines: DataFrame, po_lines: DataFrame, params: Params, method: str = "similarity"
 ) -> DataFrame:
-    """One row per matched invoice line: (stem, candidate struct ``c``).
-
-    Documents within ``fold_pair_limit`` use the fold, larger ones the distributed rounds.
-    """
+    """One row per matched invoice line: (stem, candidate struct ``c``). One plan for documents of every size."""
     links = linked(invoices)
-    large = oversized(links, lines, po_lines, params.fold_pair_limit)
-    has_large = bool(large.take(1))
-    small_links = links.join(large.select("stem"), "stem", "left_anti") if has_large else links
-    pairs = pair_lines(small_links, lines, po_lines)
-    good = score_pairs(pairs, params.line_fuzzy_threshold) if method == "similarity" else substring_pairs(pairs)
-    chosen = fold_assign(good.select("stem", _candidate(params).alias("c")))
-    if not has_large:
-        return chosen
-    if method != "similarity":
-        raise ValueError("the substring fallback has no plan for documents beyond fold_pair_limit")
-    big = large_choice(large, lines, po_lines, params)
-    return chosen.unionByName(big)
-
-
-def large_choice(large: DataFrame, lines: DataFrame, po_lines: DataFrame, params: Params) -> DataFrame:
-    """Assignment of oversized documents, in the shape of ``fold_assign``."""
-    big_lines = lines.join(large.select("stem"), "stem", "left_semi")
-    offered = large.join(po_lines, "po_key")
-    picks = assign_large(big_lines, offered, params.line_fuzzy_threshold)
+    sku = F.upper(truthy(F.col("sku")))
+    described = truthy(F.col("description"))
+    if method == "substring":
+        text, po_text = F.lower(described), F.lower(F.coalesce("description", F.lit("")))
+    else:
+        text, po_text = F.when(described.isNotNull(), token_sort(F.col("description"))), token_sort(F.col("description"))
+    mine = lines.join(links.select("stem"), "stem", "left_semi")
+    offered = links.join(po_lines, "po_key")
+    keyed = mine.select("stem", "line_index", sku.alias("sku_key"), text.alias("text"))
+    stock = offered.select("stem", "po_pos", sku.alias("sku_key"), po_text.alias("po_text"))
+    picks = assign(keyed, stock, text_pairs(keyed, stock, method, params.line_fuzzy_threshold))
     detail = (
-        picks.join(
-            big_lines.select("stem", "line_index", "sku", "description", "quantity", "unit_price", "total"),
-            ["stem", "line_index"],
-        )
+        picks.join(mine.select("stem", "line_index", "sku", "description", "quantity", "unit_price", "total"), ["stem", "line_index"])
         .join(
             offered.select(
                 "stem", "po_pos", F.col("line_number").alias("po_line_number_raw"), F.col("sku").alias("po_sku"),

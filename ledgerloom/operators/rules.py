@@ -64,7 +64,7 @@ def line_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("stem").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count("total").alias("n_totals"),
-        F.sum("total").cast(MONEY).alias("lines_total"),
+        F.sum("total").alias("lines_total"),
     )
 
 
@@ -109,7 +109,7 @@ def header_findings(inv: DataFrame, params: Params) -> DataFrame:
          _finding("F10", "line_items_subtotal_mismatch", "error",
                   _text("Sum of line items (", fmt2(summed), ") does not match stated subtotal (", fmt2(subtotal), ")"),
                   "subtotal", fmt2(subtotal), fmt2(summed)))
-    expected_tax = subtotal * c("tax_rate").cast("decimal(9,6)")
+    expected_tax = subtotal * c("tax_rate").try_cast("decimal(9,6)")
     rule(F.abs(expected_tax - tax) > tol,
          _finding("F11", "tax_calculation_mismatch", "warning",
                   _text("Tax amount (", fmt2(tax), ") does not match subtotal × rate (", fmt2(expected_tax), ")"),
@@ -175,15 +175,20 @@ def header_findings(inv: DataFrame, params: Params) -> DataFrame:
     return dated.withColumn("findings", found_all).drop("__date", "__due")
 
 
-def line_findings(lines: DataFrame, matches: DataFrame) -> DataFrame:
-    """F9 over the invoice lines and F22-F24 over their matches."""
+def negative_line_findings(lines: DataFrame) -> DataFrame:
+    """F9 over the invoice lines."""
     i, nth = F.col("line_index"), F.col("line_index") + 1
-    negative = lines.filter("total < 0").select(
+    return lines.filter("total < 0").select(
         "stem",
         _finding("F9", "negative_amount", "warning",
                  _text("Line item ", nth, " has a negative total: ", fmt2(F.col("total"))),
                  _text("line_items[", i, "].total"), plain_number(F.col("total")), None, nth, item=i).alias("f"),
     )
+
+
+def match_findings(matches: DataFrame) -> DataFrame:
+    """F22-F24 over the line matches."""
+    i, nth = F.col("line_index"), F.col("line_index") + 1
     desc, po_no = F.col("invoice_description"), F.col("po_line_number")
     checks = F.array(
         F.when(~F.col("matched"),
@@ -201,8 +206,12 @@ def line_findings(lines: DataFrame, matches: DataFrame) -> DataFrame:
                         _text("line_items[", i, "].unit_price"), plain_number(F.col("unit_price")),
                         plain_number(F.col("expected_unit_price")), po_no, block=22, item=i)),
     )
-    matched = matches.select("stem", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("f"))
-    return negative.unionByName(matched)
+    return matches.select("stem", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("f"))
+
+
+def line_findings(lines: DataFrame, matches: DataFrame) -> DataFrame:
+    """F9 over the invoice lines and F22-F24 over their matches."""
+    return negative_line_findings(lines).unionByName(match_findings(matches))
 
 
 def unbilled_findings(unmatched_po: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.similarity import lcs_block, score
 
 BLOCK = 1024
+#: Characters per block: bands of long texts get smaller blocks.
+BLOCK_CHARS = 1 << 17
 
 
 def _band(n: Column) -> Column:
@@ -28,7 +30,9 @@ def _band(n: Column) -> Column:
 
 
 def _block_count(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias(out))
+    longest = F.exp((F.col("__band") + 1) * F.lit(0.25))
+    size = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(F.lit(BLOCK_CHARS) / longest).cast("double")))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*keys, F.ceil(F.col("__n") / size).alias(out))
 
 
 def _best_per_left(i: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:

@@ -115,8 +115,8 @@ def processed_events(results: DataFrame) -> DataFrame:
 
 
 def failed_events(failures: DataFrame) -> DataFrame:
-    """Events for documents that could not be processed; the message is cut to 300 characters in the audit detail."""
-    detail = F.to_json(F.struct(F.substring("error", 1, 300).alias("error")))
+    """Events for documents that could not be processed, with the whole message."""
+    detail = F.to_json(F.struct(F.col("error").alias("error")))
     return as_events(failures.withColumn("op", F.lit("failed")).withColumn("actor", F.lit("system")).withColumn("detail", detail))
 
 
@@ -141,7 +141,11 @@ def audit_log(events: DataFrame) -> DataFrame:
     ).otherwise(F.col("op"))
     return events.filter("op <> 'snapshot'").select(
         F.col("seq").alias("id"), "stem", F.col("ts").alias("timestamp"), action.alias("action"),
-        F.coalesce("actor", F.lit("system")).alias("actor"), "detail",
+        F.coalesce("actor", F.lit("system")).alias("actor"),
+        # the view shows the first 300 characters of a failure; the event keeps them all
+        F.when(_op("failed") & F.get_json_object("detail", "$.error").isNotNull(),
+               F.to_json(F.struct(F.substring(F.get_json_object("detail", "$.error"), 1, 300).alias("error"))))
+        .otherwise(F.col("detail")).alias("detail"),
     )
 
 

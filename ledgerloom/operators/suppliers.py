@@ -11,6 +11,7 @@ from ledgerloom.functions.scalars import (
 from ledgerloom.functions.similarity import token_sort
 from ledgerloom.operators.simjoin import similar_pairs
 from ledgerloom.params import Params
+from ledgerloom.session import materialise
 
 BLOCK = ["name", "abn", "acn", "email"]
 
@@ -102,6 +103,8 @@ def resolve_blocks(blocks: DataFrame, suppliers: DataFrame, params: Params) -> D
         .join(name_index(suppliers).withColumnRenamed("supplier_ord", "name_ord"), "name_key", "left")
         .join(domain_index(suppliers).withColumnRenamed("supplier_ord", "domain_ord"), "domain_key", "left")
     )
+    # Read twice, for the open names and for the result: written once (distinct supplier blocks only).
+    step = materialise(step, "supplier-blocks")
     # Only names no cheaper strategy resolved enter the similarity join.
     open_names = (
         step.filter("abn_ord is null and name_ord is null and name_key is not null").select("name_key").distinct()

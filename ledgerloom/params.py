@@ -72,9 +72,6 @@ class Params:
     price_tolerance_pct: str = "0.01"
     quantity_tolerance: str = "0.001"
     total_tolerance: str = "0.05"
-    # Documents whose (invoice lines x PO lines) product stays within this bound are assigned by
-    # one fold per row; larger ones go through the distributed rounds. Both give the same result.
-    fold_pair_limit: int = 4096
     mandatory_fields: tuple[str, ...] = ("invoice_date", "invoice_number", "supplier.name", "total")
     hidden_fields: tuple[str, ...] = ("bill_to.contact", "supplier.website")
     custom_fields: tuple[CustomField, ...] = ()

@@ -1,4 +1,4 @@
-"""The distributed rounds must give the same assignment as the greedy rule."""
+"""The sorted pass must give the assignment of the greedy rule, for every size and in a fixed number of jobs."""
 
 import random
 
@@ -78,17 +78,35 @@ def picks(df):
     return out
 
 
-def test_fold_and_rounds_follow_the_greedy_rule(spark):
-    docs = random_docs(7, 12, 9)
+def test_pass_follows_the_greedy_rule(spark):
+    docs = random_docs(7, 12, 9) | {f"large{k}": d for k, d in enumerate(random_docs(8, 2, 90).values())}
     want = {s: g for s, (ls, ps) in docs.items() if (g := greedy(ls, ps, 65))}
     links, lines, stock = tables(spark, docs)
     assert picks(O.assign_lines(links, lines, stock, Params())) == want
-    assert picks(O.assign_lines(links, lines, stock, Params(fold_pair_limit=0))) == want
 
 
-def test_rounds_on_one_document_of_equal_lines(spark):
-    """All lines share one SKU: peers must not try the same entry one round each."""
+def test_substring_of_a_large_document(spark):
+    """More than 4 096 pairs, different texts: no bound by size."""
+    docs = {"big": ([(i, None, f"part {i} of") for i in range(120)], [(p, None, f"Part {p} of the lot") for p in range(119, -1, -1)])}
+    links, lines, stock = tables(spark, docs)
+    assert picks(O.assign_lines(links, lines, stock, Params(), "substring"))["big"] == {i: i for i in range(120)}
+
+
+def test_one_document_of_equal_lines(spark):
     docs = {"hot": ([(i, "S", "same text") for i in range(300)], [(p, "s", "same text") for p in range(280)])}
     links, lines, stock = tables(spark, docs)
-    got = picks(O.assign_lines(links, lines, stock, Params(fold_pair_limit=100)))
-    assert got["hot"] == {i: i for i in range(280)}
+    assert picks(O.assign_lines(links, lines, stock, Params()))["hot"] == {i: i for i in range(280)}
+
+
+def test_jobs_do_not_grow_with_lines(spark):
+    """Different texts on one side: the number of jobs is the same for 16, 64 and 256 lines."""
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for n in (16, 64, 256):
+        docs = {"d": ([(i, None, f"ring number {i:04d}") for i in range(n)], [(p, None, "ring number 0000") for p in range(n)])}
+        links, lines, stock = tables(spark, docs)
+        spark.sparkContext.setJobGroup(f"assign{n}", "assignment")
+        got = picks(O.assign_lines(links, lines, stock, Params()))
+        spark.sparkContext.setJobGroup("", "")
+        assert got["d"] == {i: i for i in range(n)}
+        counts.append(len(tracker.getJobIdsForGroup(f"assign{n}")))
+    assert max(counts) - min(counts) <= 2, counts  # adaptive execution may merge a stage's job with another's
