@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,20 +40,69 @@ def text_schema(columns: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def csv_files(spark: SparkSession, path: str) -> list[tuple[str, list[str], bool]]:
+    """(file, column names, whether a quoted cell holds a line break) of every non-empty CSV file under ``path``."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value",
+    )
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    found = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("head"), F.max(odd).alias("open")).collect()
+    files = []
+    for r in sorted(found, key=lambda r: r["file"]):
+        names = next(csv.reader([r["head"].removeprefix("\ufeff")]), [])
+        if names:
+            files.append((r["file"], names, bool(r["open"])))
+    return files
+
+
+def read_named(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[str]]:
+    """Rows of all files under ``path`` as text columns found by name, in (file name, line) order by ``ord``; and the names.
+
+    Files may differ in their columns: they are read by groups of equal headers, and a column that a file lacks is null. Files without quoted
+    line breaks are split between tasks. ``ord`` numbers the rows from 0: each block's offset is the number of rows in the blocks
+    before it, a table as long as there are blocks.
+    """
+    groups: dict[tuple, list[str]] = {}
+    names: dict[str, None] = {}
+    for file, header, breaks in csv_files(spark, path):
+        groups.setdefault((tuple(header), breaks), []).append(file)
+        names |= dict.fromkeys(header)
+    parts = []
+    for (header, breaks), files in groups.items():
+        columns = text_schema(tuple(f"c{i}" for i in range(len(header))))
+        rows = spark.read.csv(files, header=True, schema=columns, quote='"', escape='"', multiLine=breaks, enforceSchema=True)
+        # of a name that is there twice the last cell counts
+        by_name = {name: F.col(f"c{i}") for i, name in enumerate(header)}
+        parts.append(rows.select(
+            *[(by_name[n] if n in by_name else F.lit(None).cast("string")).alias(n) for n in names],
+            F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+            F.monotonically_increasing_id().alias("__at"),
+        ))
+    if not parts:
+        return None, []
+    rows = reduce(DataFrame.unionByName, parts)
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    offsets = blocks.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    ord_ = (F.col("__at") - F.col("__first") + F.col("__before")).alias("ord")
+    return rows.join(offsets, ["__file", "__block"]).select(*[F.col(f"`{n}`") for n in names], ord_), list(names)
+
+
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """All-text rows with their file position ``ord``; an absent file gives no rows."""
-    schema = text_schema(columns)
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema.add("ord", T.LongType()))
-    rows = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True, enforceSchema=False)
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    """All-text rows by column name with their position ``ord``; missing columns are null, others are ignored; an absent file gives no rows."""
+    found, names = read_named(spark, path) if path_exists(spark, path) else (None, [])
+    if found is None:
+        return spark.createDataFrame([], text_schema(columns).add("ord", T.LongType()))
+    return found.select(*[(F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in columns], "ord")
 
 
 def lookup_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A lookup list by bare file name; names that leave the folder give no rows."""
     if not re.fullmatch(r"[\w\-. ]+", name) or ".." in name or not path_exists(spark, f"{folder}/{name}"):
         return spark.createDataFrame([], T.StructType())
-    return spark.read.csv(f"{folder}/{name}", header=True, quote='"', escape='"', multiLine=True)
+    found, _ = read_named(spark, f"{folder}/{name}")
+    return spark.createDataFrame([], T.StructType()) if found is None else found.drop("ord")
 
 
 def write_lookup(df: DataFrame, path: str, mode: str = "overwrite") -> None:

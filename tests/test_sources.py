@@ -47,6 +47,26 @@ def test_master_files(spark, tmp_path):
     assert m.internal_companies.collect()[0].abn == "22 234 567 789"
 
 
+def test_files_by_column_name(spark, tmp_path):
+    """Missing, extra and re-ordered columns, a byte-order mark, a quoted line break, and several files in name order."""
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "b.csv").write_text('name,id,colour\n"Two\nlines",S3,red\nPlain,S4,\n')
+    (tmp_path / "s" / "a.csv").write_text("\ufeffid,name,aliases\nS1,One,A|B\nS2\n", encoding="utf-8")
+    (tmp_path / "s" / "c.csv").write_text("")
+    rows = M.read_csv(spark, f"{tmp_path}/s/*.csv", M.SUPPLIER_COLUMNS).orderBy("ord").collect()
+    assert [(r.ord, r.id, r.name, r.aliases, r.abn) for r in rows] == [
+        (0, "S1", "One", "A|B", None), (1, "S2", None, None, None), (2, "S3", "Two\nlines", None, None), (3, "S4", "Plain", None, None)
+    ]
+    large = "".join(f"{i},{i}\n" for i in range(20_000))
+    (tmp_path / "l.csv").write_text("id,name\n" + large)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        many = M.read_csv(spark, f"{tmp_path}/l.csv", M.SUPPLIER_COLUMNS)
+        assert many.rdd.getNumPartitions() > 3 and many.filter("ord <> cast(id as bigint)").count() == 0 and many.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_absent_files_and_unsafe_names_give_no_rows(spark, tmp_path):
     assert M.read_csv(spark, f"{tmp_path}/none.csv", M.SUPPLIER_COLUMNS).count() == 0
     assert M.internal_companies(spark, f"{tmp_path}/none.json").count() == 0
