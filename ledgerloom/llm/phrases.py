@@ -3,8 +3,8 @@
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window is 20 consecutive words of one document; a word goes if a window covers it whose word
 sequence also starts earlier (in a smaller doc_id, or further up in the same document). Windows are judged on the input.
 
-1. **Recurring passages are confirmed.** Each window is represented by its anchor, the smallest hash among the 8-word runs that it holds
-   (leftmost of equals), so equal windows have the same anchor at the same distance, and about one word in seven is an anchor. An anchor
+1. **Recurring passages are confirmed.** Each window is represented by its anchor, the smallest hash among the 5-word runs that it holds
+   (leftmost of equals), so equal windows have the same anchor at the same distance, and about one word in eight is an anchor. An anchor
    travels once, with 48-bit digests of the windows that it stands for; rows of one anchor meet sorted by (doc_id, place), and every
    window that was seen before in its group is a repeat. Adjacent repeats of a document make up a passage.
 2. **Automata.** Documents meet their passages by doc_id. Blocks of documents with bounded text are shards: the distinct passages confirmed
@@ -12,7 +12,7 @@ sequence also starts earlier (in a smaller doc_id, or further up in the same doc
 3. **Every document of the shard is streamed** through it. An occurrence goes if it stands at or after the first place where its passage
    was confirmed as a repeat; documents' own passages are found there as well, so nothing depends on what shares a shard.
 
-Hot anchors (a run of 8 words that a noticeable share of documents has) are found in a small sample; the sample only routes. Their windows
+Hot anchors (a run of 5 words that a noticeable share of documents has) are found in a small sample; the sample only routes. Their windows
 travel one by one under a key of their own, after repeats within a slice were settled on the spot, so a phrase in a third of all documents
 neither gathers in a task nor needs memory for its varying surroundings.
 
@@ -44,7 +44,7 @@ _LAST = (1 << 63) - 1
 @dataclass(frozen=True)
 class PhraseParams:
     window: int = 20
-    anchor: int = 8
+    anchor: int = 5
     #: Text bytes of the documents that share an automaton.
     shard_bytes: int = 1 << 20
     #: Documents looked at for hot anchors, and the share of them that makes an anchor hot. Both steer routing only.
