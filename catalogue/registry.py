@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalogue import building, exporting, history, incremental, locating, matching, review
+from catalogue import building, exporting, files, history, incremental, locating, matching, review
 
 QUERIES, ORACLES = {}, {}
-for module in (matching, review, history, building, exporting, locating, incremental):
+for module in (matching, review, history, building, exporting, locating, files, incremental):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
