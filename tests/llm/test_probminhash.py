@@ -77,6 +77,22 @@ def test_classes_are_those_of_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got} == brute(rows, NearDupParams())
 
 
+def test_small_blocks_find_the_same(spark):
+    """Many texts about as far from one original as the threshold: mixed buckets, cut into tiny blocks."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(90)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, NearDupParams())
+    for p in (NearDupParams(), NearDupParams(x_block=3, y_block=7)):
+        assert {r.doc_id: r.class_id for r in near_duplicates(df, p).collect()} == want
+
+
 def test_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in near_duplicates(df).collect()} == {(None, None), (1, 1), (2, 1)}
