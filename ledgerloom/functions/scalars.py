@@ -63,6 +63,11 @@ def order_key(c: Column) -> Column:
     return F.upper(blank_to_null(c))
 
 
+def spread_nulls(key: Column, row: Column) -> Column:
+    """A left-join key whose nulls are spread over tasks by ``row``; the stand-ins (a NUL and a number) equal no real key."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(row), F.lit(4096)).cast("string")))
+
+
 def to_number(c: Column) -> Column:
     """Drop every character but digits, dot and minus, then parse; null when that fails."""
     return F.regexp_replace(c, r"[^0-9.\-]", "").try_cast("double")

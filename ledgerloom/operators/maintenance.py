@@ -12,12 +12,12 @@ from ledgerloom.operators.ordinals import numbered
 def new_suppliers(requests: DataFrame, master: DataFrame, prefix: str) -> DataFrame:
     """Rows to append: prefix + next number in ``ord`` order, trimmed fields, no aliases."""
     suffix = F.when(F.startswith("id", F.lit(prefix)), F.substr("id", F.lit(len(prefix) + 1)).try_cast("bigint"))
-    # One aggregated row; attached through a constant key, not a cross join.
-    top = master.agg(F.coalesce(F.max(suffix), F.lit(0)).alias("top")).withColumn("__one", F.lit(1))
+    # One aggregated value, read as a scalar subquery.
+    top = master.agg(F.coalesce(F.max(suffix), F.lit(0)).alias("top")).scalar()
     ordered = numbered(requests.withColumn("__one", F.lit(1)), ["__one"], "ord", "n")
     fields = [strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("name", "abn", "acn", "email", "phone", "address")]
-    return ordered.join(top, "__one").select(
-        F.concat(F.lit(prefix), (F.col("top") + F.col("n")).cast("string")).alias("id"), *fields, F.lit("").alias("aliases")
+    return ordered.select(
+        F.concat(F.lit(prefix), (top + F.col("n")).cast("string")).alias("id"), *fields, F.lit("").alias("aliases")
     )
 
 

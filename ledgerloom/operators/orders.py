@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import blank_to_null, order_key, truthy, within, within_pct
+from ledgerloom.functions.scalars import blank_to_null, order_key, spread_nulls, truthy, within, within_pct
 from ledgerloom.functions.similarity import lcs_length, may_reach, reaches, score, token_sort
 from ledgerloom.operators.assignment import assign
 from ledgerloom.params import Params
@@ -24,7 +24,8 @@ def lookup_orders(invoices: DataFrame, purchase_orders: DataFrame) -> DataFrame:
         ).alias("__po"),
     )
     wanted = blank_to_null(F.col("po_number"))
-    joined = invoices.join(po, order_key(F.col("po_number")) == F.col("__key"), "left")
+    # invoices without a number must not meet in one task
+    joined = invoices.join(po, spread_nulls(order_key(F.col("po_number")), F.col("stem")) == F.col("__key"), "left")
     return (
         joined.withColumn("po_found", F.col("__po").isNotNull())
         .withColumn("po_key", F.col("__key"))

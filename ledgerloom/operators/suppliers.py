@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import (
-    digits_only, email_domain, name_key, registration_key, truthy,
+    digits_only, email_domain, name_key, registration_key, spread_nulls, truthy,
 )
 from ledgerloom.functions.similarity import token_sort
 from ledgerloom.operators.simjoin import similar_pairs
@@ -175,7 +175,7 @@ def flag_internal(invoices: DataFrame, internal: DataFrame) -> DataFrame:
     )
     key = registration_key(F.col("supplier.abn"), F.col("supplier.acn"))
     return (
-        invoices.withColumn("__key", key)
+        invoices.withColumn("__key", spread_nulls(key, F.col("stem")))
         .join(own, F.col("__key") == F.col("__own"), "left")
         .withColumn("is_internal", F.coalesce("__hit", F.lit(False)))
         .drop("__key", "__own", "__hit")
