@@ -181,7 +181,7 @@ def fresh(spark, sf):
 
 
 @query("next_supplier_codes", SUPPLIERS + """
- select 'SUP-' || ((select max(try_cast(substr(supplier_id,5) as bigint)) from sup) + row_number() over (order by ord)) as id, trim(name) as name, trim(abn) as abn, '' as aliases from fresh""")
+ select 'SUP-' || ((select max(try_cast(substr(supplier_id,5) as bigint)) from sup) + row_number() over (order by ord)) as id, trim(coalesce(name,'')) as name, trim(coalesce(abn,'')) as abn, '' as aliases from fresh""")
 def next_supplier_codes(spark, sf):
     return MT.new_suppliers(fresh(spark, sf), master_rows(spark, sf), "SUP-").select("id", "name", "abn", "aliases")
 
