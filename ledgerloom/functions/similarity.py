@@ -123,13 +123,31 @@ def lcs_length(a, b):
     return lcs_pairs(a, b)
 
 
-def lcs_block(left: list[str], right: list[str], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bags(texts: list[str], letters: dict[str, int]) -> np.ndarray:
+    """How often each text holds each character of ``letters``."""
+    out = np.zeros((len(texts), len(letters)), np.int32)
+    for k, t in enumerate(texts):
+        for ch in t:
+            if ch in letters:
+                out[k, letters[ch]] += 1
+    return out
+
+
+_LEADERS = 64
+
+
+def lcs_block(
+    left: list[str], right: list[str], threshold: int, best_only: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of two bounded blocks with 200*LCS >= threshold*(la+lb): (left no, right no, LCS).
 
     The masks of the larger side are laid out per character once; each text of the smaller side
-    then runs over the slice of it whose lengths can reach the threshold.
+    then runs over the part of it that can reach the threshold by length and by common characters
+    (the LCS is at most the overlap of the two bags of characters). With ``best_only`` pairs that
+    cannot be their left text's best may be left out: the most promising texts are scored first,
+    and what the others could reach at most is compared with the best of them.
     """
-    if len(left) > len(right):
+    if len(left) > len(right) and not best_only:
         j, i, n = lcs_block(right, left, threshold)
         return i, j, n
     order = np.argsort([len(t) for t in right], kind="stable")
@@ -143,6 +161,17 @@ def lcs_block(left: list[str], right: list[str], threshold: int) -> tuple[np.nda
             if m is None:
                 m = masks[ch] = [np.zeros(len(texts), np.uint64) for _ in range(words)]
             m[pos // _WORD][k] |= np.uint64(1 << (pos % _WORD))
+    letters = {ch: k for k, ch in enumerate(masks)}
+    right_bags, left_bags = _bags(texts, letters), _bags(left, letters)
+
+    def common_with(t: str, part: np.ndarray) -> np.ndarray:
+        v = [np.full(len(part), np.iinfo(np.uint64).max, np.uint64) for _ in range(words)]
+        for ch in t:
+            m = masks.get(ch)
+            if m is not None:
+                _advance(v, [w[part] for w in m])
+        return _common(v, lengths[part])
+
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, t in enumerate(left):
         n = len(t)
@@ -150,15 +179,19 @@ def lcs_block(left: list[str], right: list[str], threshold: int) -> tuple[np.nda
         hi = int(np.searchsorted(lengths * threshold, (200 - threshold) * n, "right"))
         if lo >= hi:
             continue
-        v = [np.full(hi - lo, np.iinfo(np.uint64).max, np.uint64) for _ in range(words)]
-        for ch in t:
-            m = masks.get(ch)
-            if m is not None:
-                _advance(v, [w[lo:hi] for w in m])
-        common = _common(v, lengths[lo:hi])
-        hit = np.flatnonzero(200 * common >= threshold * (n + lengths[lo:hi]))
+        most = np.minimum(right_bags[lo:hi], left_bags[i]).sum(axis=1)
+        total = n + lengths[lo:hi]
+        part = np.flatnonzero(200 * most >= threshold * total)
+        if best_only and len(part) > 2 * _LEADERS:
+            reach = most[part] / total[part]
+            lead = part[np.argpartition(-reach, _LEADERS)[:_LEADERS]]
+            part = part[reach >= (common_with(t, lo + lead) / total[lead]).max()]
+        if not len(part):
+            continue
+        common = common_with(t, lo + part)
+        hit = np.flatnonzero(200 * common >= threshold * total[part])
         if len(hit):
-            found.append((np.full(len(hit), i), order[lo + hit], common[hit]))
+            found.append((np.full(len(hit), i), order[lo + part[hit]], common[hit]))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none

@@ -78,7 +78,7 @@ def similar_pairs(
         i = j = n = np.zeros(0, np.int64)
         if len(lc) and len(rc):
             ltexts, rtexts = lc.to_pylist(), rc.to_pylist()
-            i, j, n = lcs_block(ltexts, rtexts, threshold)
+            i, j, n = lcs_block(ltexts, rtexts, threshold, best_only)
             if best_only and len(i):
                 ll, rl = np.array([len(t) for t in ltexts]), np.array([len(t) for t in rtexts])
                 keep = _best_per_left(i, n, ll[i] + rl[j])

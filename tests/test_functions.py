@@ -40,6 +40,17 @@ def test_block_kernel():
     assert set(zip(*(c.tolist() for c in lcs_block(a, b, 75)))) == want
 
 
+def test_block_kernel_keeps_every_best():
+    rnd = random.Random(9)
+    a, b = texts(rnd, 60, "abcdef ", 24), texts(rnd, 700, "abcdef ", 24)
+    every, best = (list(zip(*(c.tolist() for c in lcs_block(a, b, 60, only)))) for only in (False, True))
+    ratio = lambda hit: hit[2] / (len(a[hit[0]]) + len(b[hit[1]]))
+    for i in range(len(a)):
+        top = max((ratio(h) for h in every if h[0] == i), default=None)
+        assert {h for h in best if h[0] == i and ratio(h) == top} == {h for h in every if h[0] == i and ratio(h) == top}
+    assert set(best) <= set(every) and len(best) < len(every)
+
+
 def test_native_and_udf_agree(spark):
     rnd = random.Random(5)
     rows = list(zip(texts(rnd, 30, "abc", 8), texts(rnd, 30, "abc", 8)))
