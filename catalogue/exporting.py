@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalogue import inputs as I
@@ -13,6 +15,7 @@ from ledgerloom.params import MONEY
 from ledgerloom.plans import bulk_export as B
 from ledgerloom.plans import reevaluate as RE
 from ledgerloom.plans.reconcile import match_headers
+from ledgerloom.session import shared_dir
 
 QUERIES, ORACLES = {}, {}
 AT = "2024-02-01T00:00:00+00:00"
@@ -242,13 +245,22 @@ def export_xml(spark, sf):
     return payloads(spark, sf).select("stem", X.xml_document().alias("body"))
 
 
+@query("export_files", "select body from (" + ORACLES["export_xml"] + ")")
+def export_files(spark, sf):
+    """The same documents written to files, twice under one run id (as after a crash), and read back."""
+    path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    for _ in range(2):
+        X.write_exports(payloads(spark, sf), path, "run-1", "xml")
+    return spark.read.text(f"{path}/xml").select(F.col("value").alias("body"))
+
+
 BULK = GATE + """, st as (select *, case ok%9 when 0 then 'exported' when 1 then 'ready' when 2 then 'ready' when 3 then 'ready' else 'needs_review' end as status from gate)"""
 
 
 @query("bulk_export_plan", BULK + " select stem, 'exported' as status, cast(null as varchar) as error from st where status='ready'")
 def bulk_export_plan(spark, sf):
     go, refused = B.plan_bulk(review_state(spark, sf), corrected(spark, sf), I.PARAMS)
-    events = B.exported_events(go.select("stem"), F.lit(AT).cast("timestamp"), "json", 0)
+    events = B.exported_events(go.select("stem"), F.lit(AT).cast("timestamp"), "json", 0, "run-1")
     none = F.lit(None).cast("string")
     return events.select("stem", "status", none.alias("error")).unionByName(refused.select("stem", none.alias("status"), "error"))
 

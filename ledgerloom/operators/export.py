@@ -172,6 +172,7 @@ def to_json_text(c: Column) -> Column:
     return F.to_json(c, {"ignoreNullFields": "false"})
 
 
+# Names of the event, index and record fields in the layouts below.
 def webhook_event(payload: str = "payload") -> Column:
     """The standard event layout."""
     p = payload + "."
@@ -193,6 +194,7 @@ def webhook_event(payload: str = "payload") -> Column:
     ))
 
 
+# The default category number and comment, and the index names.
 def dms_event(payload: str = "payload", category_no: int = 57, comment: str = "Created by invoice export for ") -> Column:
     """The document-management layout: index fields by type."""
     inv = f"{payload}.extracted_invoice."
@@ -260,8 +262,8 @@ def xml_document(payload: str = "payload") -> Column:
     return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><Invoice>'), meta, supplier, details, lines, custom, F.lit("</Invoice>"))
 
 
-def write_exports(payloads_: DataFrame, path: str, fmt: str = "json") -> None:
-    """One text row per invoice, partitioned by export day."""
+def write_exports(payloads_: DataFrame, path: str, run_id: str, fmt: str = "json") -> None:
+    """One text row per invoice, by export day, in a folder of the run: writing a run again replaces its files."""
     text = to_json_text(F.col("payload")) if fmt == "json" else xml_document()
     day = F.substring(F.col("payload.exported_at"), 1, 10).alias("export_day")
-    payloads_.select(text.alias("value"), day).write.mode("append").partitionBy("export_day").text(f"{path}/{fmt}")
+    payloads_.select(text.alias("value"), day).write.mode("overwrite").partitionBy("export_day").text(f"{path}/{fmt}/run={run_id}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import export as X
+from ledgerloom.operators.ordinals import numbered
 from ledgerloom.operators.state import append_events, as_events
 from ledgerloom.params import EXPORTED, READY, Params
 
@@ -21,15 +22,17 @@ def plan_bulk(state: DataFrame, invoices: DataFrame, params: Params, gate: bool
     return known.filter(passes).drop("missing", "exportable", "present"), known.filter(~passes).select("stem", reason.alias("error"))
 
 
-def exported_events(stems: DataFrame, at, fmt: str, first_seq: int) -> DataFrame:
-    detail = F.to_json(F.struct(F.lit(fmt).alias("format"), F.lit(True).alias("bulk")))
-    return as_events(stems.select(
-        "stem", (F.lit(first_seq) + F.monotonically_increasing_id()).alias("seq"), at.alias("ts"), F.lit("status_changed").alias("op"),
+def exported_events(stems: DataFrame, at, fmt: str, first_seq: int, run_id: str) -> DataFrame:
+    """One event per invoice; its number is decided by the stem's place in the run, so a repeated run gives the same events."""
+    detail = F.to_json(F.struct(F.lit(fmt).alias("format"), F.lit(True).alias("bulk"), F.lit(run_id).alias("run")))
+    placed = stems.select("stem", F.lit(0).alias("__all"), F.shiftrightunsigned(F.xxhash64("stem"), 1).alias("__at"))
+    return as_events(numbered(placed, ["__all"], "__at", "n", range_bits=53).select(
+        "stem", (F.lit(first_seq) + F.col("n") - 1).alias("seq"), at.alias("ts"), F.lit("status_changed").alias("op"),
         F.lit(EXPORTED).alias("status"), F.lit("system").alias("actor"), detail.alias("detail"),
     ))
 
 
-def bulk_export(payloads: DataFrame, at, path: str, log_path: str, fmt: str, first_seq: int) -> None:
-    """Write the files first, then the events; a failed write leaves the invoices ready."""
-    X.write_exports(payloads, path, fmt)
-    append_events(exported_events(payloads.select("stem"), at, fmt, first_seq), log_path)
+def bulk_export(payloads: DataFrame, at, path: str, log_path: str, fmt: str, first_seq: int, run_id: str) -> None:
+    """Write the run's files first, then its events; after a failure the same run id replaces the files instead of adding to them."""
+    X.write_exports(payloads, path, run_id, fmt)
+    append_events(exported_events(payloads.select("stem"), at, fmt, first_seq, run_id), log_path)
