@@ -53,21 +53,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables that ``materialise`` wrote in this session, from the ``since``-th on; results must have been written before."""
-    paths = _written.get(spark.sparkContext.applicationId, [])
+def written(spark: SparkSession) -> list[str]:
+    """The tables that ``materialise`` wrote in this session and that are still there."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialise`` wrote; what was computed from them must have been written before."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths[since:]:
+    for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-    del paths[since:]
+    gone = set(paths)
+    _written[spark.sparkContext.applicationId] = [p for p in written(spark) if p not in gone]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``materialise`` wrote in this session."""
+    discard(spark, written(spark))
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables materialised inside are deleted at the end, also after an error."""
-    since = len(_written.get(spark.sparkContext.applicationId, []))
+    before = set(written(spark))
     try:
         yield
     finally:
-        release(spark, since)
+        discard(spark, [p for p in written(spark) if p not in before])
