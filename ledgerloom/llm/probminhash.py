@@ -5,14 +5,15 @@
 * **Signature**: every shingle sends a Poisson process of arrivals whose rate is its weight; each arrival picks one of ``m`` registers, and a
   register keeps the shingle that arrives first. A shingle stops as soon as its next arrival comes later than all registers' times. Two
   texts agree in a register with the probability Jaccard index of their weighted shingles.
-* **Banding**: ``bands`` groups of registers; texts that agree on a whole group share a bucket (at 0.8 a pair misses all 24 bands of 4
-  with a probability of about 3e-6).
+* **Banding**: ``bands`` groups of registers; texts that agree on a whole group share a bucket (at 0.8 a pair misses all 40 bands of 6
+  with a probability of about 5e-6, and at 0.2 one pair in 400 shares one).
 * **Verification**: a link needs a Jaccard index of 0.8 or more between the whole shingle sets.
 
 No pairs of a group are written out. Equal texts are one node (smallest doc_id) from the start. First every bucket's members are verified
-against its smallest member, and connected groups are labelled. Then only buckets that still hold several groups are looked at: members
+against its pivot, the member with the most company in all its buckets (the original, where the others are edits of it), and connected
+groups are labelled. Then only buckets that still hold several groups are looked at: members
 outside a bucket's largest group are compared with the members of other groups (estimates from the signatures drop what is far from the
-threshold, verification decides), so a link between different groups is not lost to the choice of the smallest member. Minima are
+threshold, verification decides), so a link between different groups is not lost to the choice of the pivot. Minima and sums are
 aggregated before the shuffle and joins are plain equi-joins that AQE can split where a bucket is hot.
 
 Result: one row per document with ``class_id``, the smallest doc_id of its class. Defined cases: null texts and texts without words are
@@ -40,10 +41,13 @@ from ledgerloom.llm.textkit import gram_hashes, mix, slices, span_hashes, text_b
 class NearDupParams:
     shingle: int = 5
     threshold: float = 0.8
-    bands: int = 24
-    rows: int = 4
-    # Pairs whose signatures agree less than this are not verified in the second pass (4.9 standard deviations below 0.8).
-    least_estimate: float = 0.6
+    bands: int = 40
+    rows: int = 6
+    # Pairs whose signatures agree less than this are not verified in the second pass (3.9 standard deviations below 0.8).
+    least_estimate: float = 0.7
+    # Members of a bucket that one unit of the second pass holds and streams.
+    x_block: int = 2048
+    y_block: int = 16384
 
     @property
     def registers(self) -> int:
@@ -112,15 +116,24 @@ def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
     return rows.mapInArrow(_signer(p), "doc_id long, text_key binary, n_shingles int, sig binary")
 
 
+def band_keys(sig: np.ndarray, p: NearDupParams) -> np.ndarray:
+    """(texts, bands) bucket keys of (texts, registers) signatures."""
+    parts = sig.reshape(-1, p.bands, p.rows)
+    keys = np.broadcast_to(mix(np.arange(p.bands, dtype=np.uint64) + np.uint64(1)), parts.shape[:2])
+    for j in range(p.rows):
+        keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + parts[:, :, j])
+    return keys
+
+
+def _matrix(column: pa.Array, p: NearDupParams) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, p.registers)
+
+
 def _bander(p: NearDupParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(p.bands, dtype=np.uint64) + np.uint64(1))
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, p.bands, p.rows)
-                keys = np.broadcast_to(salt, sig.shape[:2])
-                for j in range(p.rows):
-                    keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + sig[:, :, j])
+                keys = band_keys(_matrix(batch.column("sig"), p), p)
                 nodes = np.repeat(batch.column("node").to_numpy(), p.bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["bucket", "node"])
 
@@ -161,27 +174,72 @@ def verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     return judged.filter(F.col("similarity") >= p.threshold)
 
 
-def _agreeing(p: NearDupParams):
+def _block_pairs(p: NearDupParams):
+    """Rows sorted by (bucket, x_block, y_block, asks descending): members outside the largest group (x) first, then all members (y).
+
+    Emits the pairs of unlike groups whose signatures agree enough, each in the first of the buckets that the two share.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, xs = None, []
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, p.registers) for c in ("sig_x", "sig_y"))
-                yield batch.select(["x", "y"]).filter(pa.array((x == y).mean(axis=1) >= p.least_estimate))
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "x_block", "y_block", "asks")]
+            node, root, outside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "outside"))
+            sig = _matrix(batch.column("sig"), p)
+            change = np.zeros(len(node), bool)
+            for k in keys:
+                change[1:] |= k[1:] != k[:-1]
+            found_x, found_y = [], []
+            for a, b in zip([0, *np.flatnonzero(change)], [*np.flatnonzero(change), len(node)]):
+                now = tuple(k[a] for k in keys[:3])
+                if now != group:
+                    group, xs = now, []
+                if keys[3][a]:
+                    bands = (band_keys(sig[a:b], p).view(np.int64) == now[0]).argmax(axis=1)
+                    xs += list(zip(node[a:b], root[a:b], sig[a:b], bands))
+                    continue
+                for x, rx, sx, band in xs:
+                    same = sig[a:b] == sx
+                    # a pair of two outside members is met twice: from the smaller id only
+                    hit = (same.mean(axis=1) >= p.least_estimate) & (root[a:b] != rx) & (~outside[a:b] | (x < node[a:b]))
+                    rows = np.flatnonzero(hit)
+                    if len(rows) and band:
+                        rows = rows[~same[rows].reshape(len(rows), p.bands, p.rows)[:, :band].all(axis=2).any(axis=1)]
+                    found_x.append(np.full(len(rows), x))
+                    found_y.append(node[a:b][rows])
+            if found_x:
+                x, y = np.concatenate(found_x), np.concatenate(found_y)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
 def _second_pass(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
-    """Pairs of unlike groups in buckets that hold several groups; each has a node outside its bucket's largest group."""
+    """Pairs of unlike groups in buckets that hold several groups; one of the two is outside its bucket's largest group.
+
+    Outside members and all members of a bucket are cut into blocks of bounded size, and a pair of blocks is one unit of work: a large
+    bucket spreads over many tasks, and no task holds more than a block.
+    """
     named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max_by("root", F.struct("n", "root")).alias("largest"))
-    mixed = mixed.filter("groups > 1")
-    open_ = materialise(named.join(mixed, "bucket").join(nodes.select("node", "sig"), "node"), "mixed-buckets")
-    outside = open_.filter("root <> largest").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("sig").alias("sig_x"))
-    every = open_.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("sig").alias("sig_y"))
-    near = outside.join(every, "bucket").filter("rx <> ry").select("x", "y", "sig_x", "sig_y").mapInArrow(_agreeing(p), "x long, y long")
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    mixed = groups.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("largest")
+    ).filter("groups > 1")
+    blocks = mixed.select(
+        "bucket", F.col("largest.root").alias("largest"),
+        F.ceil((F.col("size") - F.col("largest.n")) / F.lit(p.x_block)).alias("xs"), F.ceil(F.col("size") / F.lit(p.y_block)).alias("ys"),
+    )
+    rows = named.join(blocks, "bucket").join(nodes.select("node", "sig"), "node").withColumn("outside", F.col("root") != F.col("largest"))
+    at = F.xxhash64("node")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    keep = ["bucket", "node", "root", "outside", "sig"]
+    asks = rows.filter("outside").select(*keep, F.lit(True).alias("asks"), F.pmod(at, F.col("xs")).alias("x_block"), every("ys").alias("y_block"))
+    answers = rows.select(*keep, F.lit(False).alias("asks"), every("xs").alias("x_block"), F.pmod(at, F.col("ys")).alias("y_block"))
+    units = asks.unionByName(answers).repartition("bucket", "x_block", "y_block")
+    order = units.sortWithinPartitions("bucket", "x_block", "y_block", F.desc("asks"), "node")
+    return order.mapInArrow(_block_pairs(p), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -190,12 +248,16 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     texts = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
     texts = materialise(texts, "texts")
     bands = texts.select("node", "sig").mapInArrow(_bander(p), "bucket long, node long")
-    lows = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = materialise(bands.join(lows, "bucket"), "members")
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialise(bands.join(sizes, "bucket"), "members")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    pivots = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("pivot"))
+    members = members.drop("n")
     involved = members.select("node").distinct()
     texts_of = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(materialise(involved, "involved"), "node")
     sets = materialise(texts_of.mapInArrow(_set_maker(p), "node long, grams binary"), "shingle-sets")
-    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    arms = members.join(pivots, "bucket").filter("node <> pivot")
+    stars = materialise(arms.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "stars")
     links = materialise(verified(stars, sets, p), "links")
     labels = components(links)
     more = _second_pass(members, labels, texts, p).join(stars, ["a", "b"], "left_anti")
