@@ -43,8 +43,10 @@ class NearDupParams:
     threshold: float = 0.8
     bands: int = 40
     rows: int = 6
-    # Pairs whose signatures agree less than this are not verified in the second pass (3.9 standard deviations below 0.8).
-    least_estimate: float = 0.7
+    # Second pass: a pair is verified unless an estimate lies so many standard deviations below the threshold; the signature is asked first,
+    # then the sketch, the smallest hashes of a shingle set (all of them, where a set has no more: then it decides nearly exactly).
+    deviations: float = 4.9
+    sketch: int = 512
     # Members of a bucket that one unit of the second pass holds and streams.
     x_block: int = 2048
     y_block: int = 16384
@@ -53,6 +55,10 @@ class NearDupParams:
     def registers(self) -> int:
         return self.bands * self.rows
 
+    def least(self, draws: int) -> float:
+        """What an estimate from so many draws must reach."""
+        return self.threshold - self.deviations * math.sqrt(self.threshold * (1 - self.threshold) / draws)
+
 
 def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The hashes of each text's shingles, in order and with repeats; empty where there is no word."""
@@ -143,8 +149,11 @@ def _bander(p: NearDupParams):
 def _set_maker(p: NearDupParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (s for b in batches for s in slices(b, "text")):
-            sets = [np.unique(g).tobytes() for g in shingles(piece.column("text"), p.shingle)]
-            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
+            sets = [np.unique(g) for g in shingles(piece.column("text"), p.shingle)]
+            marks = [np.unique((mix(s) >> np.uint64(32)).astype(np.uint32))[: p.sketch].tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(marks, pa.binary())], names=["node", "grams", "sketch"]
+            )
 
     return run
 
@@ -174,12 +183,32 @@ def verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     return judged.filter(F.col("similarity") >= p.threshold)
 
 
+def may_link(a: bytes, b: bytes, p: NearDupParams) -> bool:
+    """False only where the sketches (sorted smallest hashes of two sets) put the Jaccard index well below the threshold."""
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    whole = len(x) < p.sketch and len(y) < p.sketch
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    twice = both[1:] == both[:-1]
+    if whole:  # the sets themselves, but for collisions of 32-bit hashes
+        common = int(np.count_nonzero(twice))
+        return common >= (p.threshold - 0.005) * (len(both) - common)
+    # the smallest hashes of the union are a sample of it; those that stand twice lie in both sets
+    fresh = np.concatenate([[True], ~twice])
+    last = np.flatnonzero(fresh)[: p.sketch + 1]
+    k = min(len(last), p.sketch)
+    end = last[p.sketch] if len(last) > p.sketch else len(both)
+    return int(np.count_nonzero(twice[: end - 1])) >= p.least(k) * k
+
+
 def _block_pairs(p: NearDupParams):
     """Rows sorted by (bucket, x_block, y_block, asks descending): members outside the largest group (x) first, then all members (y).
 
     Emits the pairs of unlike groups whose signatures agree enough, each in the first of the buckets that the two share.
     """
 
+    least = p.least(p.registers)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, xs = None, []
         for batch in batches:
@@ -188,6 +217,7 @@ def _block_pairs(p: NearDupParams):
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "x_block", "y_block", "asks")]
             node, root, outside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "outside"))
             sig = _matrix(batch.column("sig"), p)
+            sketches = batch.column("sketch").to_pylist()
             change = np.zeros(len(node), bool)
             for k in keys:
                 change[1:] |= k[1:] != k[:-1]
@@ -198,15 +228,16 @@ def _block_pairs(p: NearDupParams):
                     group, xs = now, []
                 if keys[3][a]:
                     bands = (band_keys(sig[a:b], p).view(np.int64) == now[0]).argmax(axis=1)
-                    xs += list(zip(node[a:b], root[a:b], sig[a:b], bands))
+                    xs += list(zip(node[a:b], root[a:b], sig[a:b], sketches[a:b], bands))
                     continue
-                for x, rx, sx, band in xs:
+                for x, rx, sx, kx, band in xs:
                     same = sig[a:b] == sx
                     # a pair of two outside members is met twice: from the smaller id only
-                    hit = (same.mean(axis=1) >= p.least_estimate) & (root[a:b] != rx) & (~outside[a:b] | (x < node[a:b]))
+                    hit = (same.mean(axis=1) >= least) & (root[a:b] != rx) & (~outside[a:b] | (x < node[a:b]))
                     rows = np.flatnonzero(hit)
                     if len(rows) and band:
                         rows = rows[~same[rows].reshape(len(rows), p.bands, p.rows)[:, :band].all(axis=2).any(axis=1)]
+                    rows = np.array([r for r in rows.tolist() if may_link(kx, sketches[a + r], p)], dtype=np.int64)
                     found_x.append(np.full(len(rows), x))
                     found_y.append(node[a:b][rows])
             if found_x:
@@ -216,7 +247,7 @@ def _block_pairs(p: NearDupParams):
     return run
 
 
-def _second_pass(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
+def _second_pass(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     """Pairs of unlike groups in buckets that hold several groups; one of the two is outside its bucket's largest group.
 
     Outside members and all members of a bucket are cut into blocks of bounded size, and a pair of blocks is one unit of work: a large
@@ -231,10 +262,11 @@ def _second_pass(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: Nea
         "bucket", F.col("largest.root").alias("largest"),
         F.ceil((F.col("size") - F.col("largest.n")) / F.lit(p.x_block)).alias("xs"), F.ceil(F.col("size") / F.lit(p.y_block)).alias("ys"),
     )
-    rows = named.join(blocks, "bucket").join(nodes.select("node", "sig"), "node").withColumn("outside", F.col("root") != F.col("largest"))
+    known = nodes.select("node", "sig").join(sets.select("node", "sketch"), "node")
+    rows = named.join(blocks, "bucket").join(known, "node").withColumn("outside", F.col("root") != F.col("largest"))
     at = F.xxhash64("node")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    keep = ["bucket", "node", "root", "outside", "sig"]
+    keep = ["bucket", "node", "root", "outside", "sig", "sketch"]
     asks = rows.filter("outside").select(*keep, F.lit(True).alias("asks"), F.pmod(at, F.col("xs")).alias("x_block"), every("ys").alias("y_block"))
     answers = rows.select(*keep, F.lit(False).alias("asks"), every("xs").alias("x_block"), F.pmod(at, F.col("ys")).alias("y_block"))
     units = asks.unionByName(answers).repartition("bucket", "x_block", "y_block")
@@ -255,12 +287,12 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     members = members.drop("n")
     involved = members.select("node").distinct()
     texts_of = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(materialise(involved, "involved"), "node")
-    sets = materialise(texts_of.mapInArrow(_set_maker(p), "node long, grams binary"), "shingle-sets")
+    sets = materialise(texts_of.mapInArrow(_set_maker(p), "node long, grams binary, sketch binary"), "shingle-sets")
     arms = members.join(pivots, "bucket").filter("node <> pivot")
     stars = materialise(arms.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "stars")
     links = materialise(verified(stars, sets, p), "links")
     labels = components(links)
-    more = _second_pass(members, labels, texts, p).join(stars, ["a", "b"], "left_anti")
+    more = _second_pass(members, labels, texts, sets, p).join(stars, ["a", "b"], "left_anti")
     more = materialise(verified(more, sets, p), "links")
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))

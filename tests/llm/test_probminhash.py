@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from ledgerloom.llm.probminhash import NearDupParams, near_duplicates, signature
+from ledgerloom.llm.probminhash import NearDupParams, may_link, near_duplicates, signature
 
 
 def test_register_agreement_estimates_probability_jaccard():
@@ -93,6 +93,18 @@ def test_small_blocks_find_the_same(spark):
         assert {r.doc_id: r.class_id for r in near_duplicates(df, p).collect()} == want
 
 
+def test_sketch_drops_no_pair_at_the_threshold():
+    rng, p = np.random.default_rng(3), NearDupParams()
+    mark = lambda s: np.unique(s)[: p.sketch].tobytes()
+    for n in (40, 500, 511, 512, 513, 3000):
+        for share in (0.3, 0.81, 0.9, 1.0):
+            e = rng.integers(0, 2**32, n, dtype=np.uint32)
+            common = round(n * share)
+            rest = (n - common) // 2
+            a, b = e[: common + rest], np.concatenate([e[:common], e[common + rest :]])
+            assert may_link(mark(a), mark(b), p) == (share > 0.5), (n, share)
+
+
 def test_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in near_duplicates(df).collect()} == {(None, None), (1, 1), (2, 1)}
