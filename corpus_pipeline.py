@@ -6,6 +6,7 @@ Every stage works on all that its predecessor kept and takes (spark, docs, sf_di
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +16,44 @@ from ledgerloom.llm.packing import best_fit
 from ledgerloom.llm.phrases import remove_repeats
 from ledgerloom.llm.probminhash import near_duplicates
 from ledgerloom.llm.shared import materialise
-from ledgerloom.session import shared_dir
+from ledgerloom.session import discard, shared_dir, written
 
 #: A document whose leading language holds less than this share of its letters is rejected.
 LEAST_LANGUAGE_SHARE = 0.5
 
 
+_left: dict[str, list[str]] = {}
+
+
+def staged(function):
+    """A stage that first deletes its predecessor's intermediate tables, unless ``docs`` is still computed from them."""
+
+    @wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        read = " ".join(docs.inputFiles())
+        discard(spark, [p for p in _left.pop(app, []) if p.rpartition("/")[2] not in read])
+        before = set(written(spark))
+        out = function(spark, docs, sf_dir)
+        _left[app] = [p for p in written(spark) if p not in before]
+        return out
+
+    return stage
+
+
 def by_id(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """``docs`` without those that ``decided`` (doc_id) rejects; rows without an id stay, as no decision can name them."""
     return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
+@staged
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null, no letter) or without a leading one."""
     found = identify(docs).filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SHARE))
     return by_id(docs, materialise(found, "rejected"))
 
 
+@staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates, the one with the smallest doc_id; of repeated rows, one row."""
     classes = near_duplicates(docs)
@@ -42,6 +64,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
 
 
+@staged
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; a document of which nothing is left goes."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -50,6 +73,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return text.select(docs.columns)
 
 
+@staged
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every document's pieces in sequences of fixed capacity."""
     return best_fit(docs)
