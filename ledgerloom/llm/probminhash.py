@@ -4,16 +4,17 @@
   1 + ln(occurrences in its text).
 * **Signature**: every shingle sends a Poisson process of arrivals whose rate is its weight; each arrival picks one of ``m`` registers, and a
   register keeps the shingle that arrives first. A shingle stops as soon as its next arrival comes later than all registers' times. Two
-  texts agree in a register with the probability Jaccard index of their weighted shingles.
-* **Banding**: ``bands`` groups of registers; texts that agree on a whole group share a bucket (at 0.8 a pair misses all 40 bands of 6
-  with a probability of about 5e-6, and at 0.2 one pair in 400 shares one).
+  texts agree in a register with the probability Jaccard index of their weighted shingles. A text with a repeated shingle gets a second
+  signature, of weights 1: its registers agree with the plain Jaccard index, by which links are defined. Without repeats both are the same.
+* **Banding**: ``bands`` groups of registers of either signature; texts that agree on a whole group share a bucket (at a plain Jaccard index
+  of 0.8 a pair misses all 40 bands of 6 of weights 1 with a probability of about 5e-6, and at 0.2 one pair in 400 shares one).
 * **Verification**: a link needs a Jaccard index of 0.8 or more between the whole shingle sets.
 
 No pairs of a group are written out. Equal texts are one node (smallest doc_id) from the start. First every bucket's members are verified
 against its pivot, the member with the most company in all its buckets (the original, where the others are edits of it), and connected
 groups are labelled. Then only buckets that still hold several groups are looked at: members
-outside a bucket's largest group are compared with the members of other groups (estimates from the signatures drop what is far from the
-threshold, verification decides), so a link between different groups is not lost to the choice of the pivot. Minima and sums are
+outside a bucket's largest group are compared with the members of other groups (set sizes and a sketch of the plain shingle sets drop what is
+far from the threshold, verification decides), so a link between different groups is not lost to the choice of the pivot. Minima and sums are
 aggregated before the shuffle and joins are plain equi-joins that AQE can split where a bucket is hot.
 
 Result: one row per document with ``class_id``, the smallest doc_id of its class. Defined cases: null texts and texts without words are
@@ -43,8 +44,8 @@ class NearDupParams:
     threshold: float = 0.8
     bands: int = 40
     rows: int = 6
-    # Second pass: a pair is verified unless an estimate lies so many standard deviations below the threshold; the signature is asked first,
-    # then the sketch, the smallest hashes of a shingle set (all of them, where a set has no more: then it decides nearly exactly).
+    # Second pass: a pair is verified unless its set sizes rule a link out or the estimate lies so many standard deviations below the threshold;
+    # the estimate is of the sketch, the smallest hashes of a shingle set (all of them, where a set has no more: then it decides nearly exactly).
     deviations: float = 4.9
     sketch: int = 512
     # Members of a bucket that one unit of the second pass holds and streams.
@@ -96,22 +97,35 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
     return chosen
 
 
+def band_keys(sig: np.ndarray, p: NearDupParams) -> np.ndarray:
+    """(texts, bands) bucket keys of (texts, registers) signatures."""
+    parts = sig.reshape(-1, p.bands, p.rows)
+    keys = np.broadcast_to(mix(np.arange(p.bands, dtype=np.uint64) + np.uint64(1)), parts.shape[:2])
+    for j in range(p.rows):
+        keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + parts[:, :, j])
+    return keys
+
+
+def buckets_of(unique: np.ndarray, counts: np.ndarray, p: NearDupParams) -> np.ndarray:
+    """Bucket keys of a text, sorted and distinct: those of its weighted shingles and those of its plain shingle set."""
+    drawn = [signature(unique, 1.0 + np.log(counts), p.registers)]
+    if counts.max() > 1:
+        drawn.append(signature(unique, np.ones(len(unique)), p.registers))
+    return np.unique(band_keys(np.stack(drawn), p).view(np.int64))
+
+
 def _signer(p: NearDupParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (s for b in batches for s in slices(b, "text")):
             keys, sizes, marks = [], [], []
             for text, grams in zip(piece.column("text"), shingles(piece.column("text"), p.shingle)):
                 keys.append(hashlib.md5(text.as_buffer() or b"").digest())
-                if len(grams):
-                    unique, counts = np.unique(grams, return_counts=True)
-                    marks.append(signature(unique, 1.0 + np.log(counts), p.registers).tobytes())
-                    sizes.append(len(unique))
-                else:
-                    marks.append(b"")
-                    sizes.append(0)
+                unique, counts = np.unique(grams, return_counts=True)
+                marks.append(buckets_of(unique, counts, p).tobytes() if len(unique) else b"")
+                sizes.append(len(unique))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())],
-                names=["doc_id", "text_key", "n_shingles", "sig"],
+                names=["doc_id", "text_key", "n_shingles", "buckets"],
             )
 
     return run
@@ -119,31 +133,16 @@ def _signer(p: NearDupParams):
 
 def signatures(docs: DataFrame, p: NearDupParams) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_signer(p), "doc_id long, text_key binary, n_shingles int, sig binary")
+    return rows.mapInArrow(_signer(p), "doc_id long, text_key binary, n_shingles int, buckets binary")
 
 
-def band_keys(sig: np.ndarray, p: NearDupParams) -> np.ndarray:
-    """(texts, bands) bucket keys of (texts, registers) signatures."""
-    parts = sig.reshape(-1, p.bands, p.rows)
-    keys = np.broadcast_to(mix(np.arange(p.bands, dtype=np.uint64) + np.uint64(1)), parts.shape[:2])
-    for j in range(p.rows):
-        keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + parts[:, :, j])
-    return keys
-
-
-def _matrix(column: pa.Array, p: NearDupParams) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, p.registers)
-
-
-def _bander(p: NearDupParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = band_keys(_matrix(batch.column("sig"), p), p)
-                nodes = np.repeat(batch.column("node").to_numpy(), p.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["bucket", "node"])
-
-    return run
+def _bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            own = batch.column("buckets").to_pylist()
+            keys = np.frombuffer(b"".join(own), dtype=np.int64)
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(k) // 8 for k in own])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], names=["bucket", "node"])
 
 
 def _set_maker(p: NearDupParams):
@@ -204,20 +203,17 @@ def may_link(a: bytes, b: bytes, p: NearDupParams) -> bool:
 def _block_pairs(p: NearDupParams):
     """Rows sorted by (bucket, x_block, y_block, asks descending): members outside the largest group (x) first, then all members (y).
 
-    Emits the pairs of unlike groups whose signatures agree enough, each in the first of the buckets that the two share.
+    Emits the pairs of unlike groups whose sizes and sketches allow a link, each in the smallest of the buckets that the two share.
     """
 
-    least = p.least(p.registers)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, xs = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "x_block", "y_block", "asks")]
-            node, root, outside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "outside"))
-            sig = _matrix(batch.column("sig"), p)
-            sketches = batch.column("sketch").to_pylist()
+            node, root, outside, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "outside", "n_shingles"))
+            buckets, sketches = batch.column("buckets"), batch.column("sketch")
             change = np.zeros(len(node), bool)
             for k in keys:
                 change[1:] |= k[1:] != k[:-1]
@@ -226,22 +222,24 @@ def _block_pairs(p: NearDupParams):
                 now = tuple(k[a] for k in keys[:3])
                 if now != group:
                     group, xs = now, []
+                lower = lambda r: frozenset(k for k in np.frombuffer(buckets[r].as_buffer(), dtype=np.int64).tolist() if k < now[0])  # noqa: B023, E731
                 if keys[3][a]:
-                    bands = (band_keys(sig[a:b], p).view(np.int64) == now[0]).argmax(axis=1)
-                    xs += list(zip(node[a:b], root[a:b], sig[a:b], sketches[a:b], bands))
+                    xs += [(node[r], root[r], size[r], lower(r), sketches[r].as_py()) for r in range(a, b)]
                     continue
-                for x, rx, sx, kx, band in xs:
-                    same = sig[a:b] == sx
+                before: dict[int, tuple] = {}
+                for x, rx, nx, bx, kx in xs:
                     # a pair of two outside members is met twice: from the smaller id only
-                    hit = (same.mean(axis=1) >= least) & (root[a:b] != rx) & (~outside[a:b] | (x < node[a:b]))
-                    rows = np.flatnonzero(hit)
-                    if len(rows) and band:
-                        rows = rows[~same[rows].reshape(len(rows), p.bands, p.rows)[:, :band].all(axis=2).any(axis=1)]
-                    rows = np.array([r for r in rows.tolist() if may_link(kx, sketches[a + r], p)], dtype=np.int64)
-                    found_x.append(np.full(len(rows), x))
-                    found_y.append(node[a:b][rows])
+                    hit = (root[a:b] != rx) & (~outside[a:b] | (x < node[a:b]))
+                    hit &= np.minimum(size[a:b], nx) >= (p.threshold - 1e-9) * np.maximum(size[a:b], nx)
+                    for r in (a + np.flatnonzero(hit)).tolist():
+                        if r not in before:
+                            before[r] = lower(r), sketches[r].as_py()
+                        by, ky = before[r]
+                        if bx.isdisjoint(by) and may_link(kx, ky, p):
+                            found_x.append(x)
+                            found_y.append(node[r])
             if found_x:
-                x, y = np.concatenate(found_x), np.concatenate(found_y)
+                x, y = np.array(found_x, dtype=np.int64), np.array(found_y, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
@@ -262,11 +260,11 @@ def _second_pass(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets:
         "bucket", F.col("largest.root").alias("largest"),
         F.ceil((F.col("size") - F.col("largest.n")) / F.lit(p.x_block)).alias("xs"), F.ceil(F.col("size") / F.lit(p.y_block)).alias("ys"),
     )
-    known = nodes.select("node", "sig").join(sets.select("node", "sketch"), "node")
+    known = nodes.select("node", "n_shingles", "buckets").join(sets.select("node", "sketch"), "node")
     rows = named.join(blocks, "bucket").join(known, "node").withColumn("outside", F.col("root") != F.col("largest"))
     at = F.xxhash64("node")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    keep = ["bucket", "node", "root", "outside", "sig", "sketch"]
+    keep = ["bucket", "node", "root", "outside", "n_shingles", "buckets", "sketch"]
     asks = rows.filter("outside").select(*keep, F.lit(True).alias("asks"), F.pmod(at, F.col("xs")).alias("x_block"), every("ys").alias("y_block"))
     answers = rows.select(*keep, F.lit(False).alias("asks"), every("xs").alias("x_block"), F.pmod(at, F.col("ys")).alias("y_block"))
     units = asks.unionByName(answers).repartition("bucket", "x_block", "y_block")
@@ -277,9 +275,11 @@ def _second_pass(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets:
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """doc_id, class_id, n_shingles for every document."""
     signed = materialise(signatures(docs, p), "signatures")
-    texts = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    texts = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("text_key").agg(
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets")
+    )
     texts = materialise(texts, "texts")
-    bands = texts.select("node", "sig").mapInArrow(_bander(p), "bucket long, node long")
+    bands = texts.select("node", "buckets").mapInArrow(_bander, "bucket long, node long")
     sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(bands.join(sizes, "bucket"), "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from ledgerloom.llm.probminhash import NearDupParams, may_link, near_duplicates, signature
+from ledgerloom.llm.probminhash import NearDupParams, _block_pairs, _set_maker, buckets_of, may_link, near_duplicates, shingles, signature
 
 
 def test_register_agreement_estimates_probability_jaccard():
@@ -109,3 +110,33 @@ def test_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in near_duplicates(df).collect()} == {(None, None), (1, 1), (2, 1)}
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_copies_that_gain_or_lose_an_often_repeated_line(spark):
+    """Plain Jaccard index above 0.8, probability Jaccard index far below: every pair is one class, though weighted registers seldom agree."""
+    rng, rows = random.Random(11), []
+    for i in range(60):
+        base = [f"b{i}x{rng.randrange(10**6)}" for _ in range(100)]
+        line = [f"l{i}x{rng.randrange(10**6)}" for _ in range(15)]
+        long = base + line * 100
+        rows += [(2 * i, " ".join(long if i % 2 else base)), (2 * i + 1, " ".join(base if i % 2 else long))]
+    want = brute(rows, NearDupParams())
+    assert len(set(want.values())) == 60
+    assert {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_second_pass_links_copies_with_an_often_repeated_line():
+    """The unit of the second pass, given one bucket: the pair is passed on, whatever the weighted registers say."""
+    p = NearDupParams()
+    base, line = [f"b{i}" for i in range(100)], [f"l{i}" for i in range(15)]
+    texts = pa.array([" ".join(base), " ".join(base + line * 100)])
+    grams = list(shingles(texts, p.shingle))
+    keys = [buckets_of(*np.unique(g, return_counts=True), p) for g in grams]
+    bucket = int(np.intersect1d(*keys)[0])
+    made = next(_set_maker(p)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), texts], names=["node", "text"])])))
+    row = lambda i, asks: {
+        "bucket": bucket, "x_block": 0, "y_block": 0, "asks": asks, "node": i + 1, "root": i + 1, "outside": i == 0,
+        "n_shingles": len(np.unique(grams[i])), "buckets": keys[i].tobytes(), "sketch": made.column("sketch")[i].as_py(),
+    }
+    rows = pa.RecordBatch.from_pylist([row(0, True), row(0, False), row(1, False)])
+    assert [b.to_pylist() for b in _block_pairs(p)(iter([rows]))] == [[{"a": 1, "b": 2}]]
