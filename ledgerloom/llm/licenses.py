@@ -6,7 +6,8 @@ subsequence of anchors stays; the gaps between them are aligned the same way. Co
 
 Which stretches: every place of a word that the template holds once suggests where the template would lie; it is taken with a quarter of the
 template's length on both sides. Before that, documents (and then stretches) that do not hold enough of the template's words to reach the
-threshold are passed over, which cannot drop a match. Overlapping finds of a template count once, with the best coverage.
+threshold are passed over, which cannot drop a match. Overlapping finds of a template count once, with the best coverage. Where wordings of
+different licenses (versions too) match mostly the same words of a text, the one that matches more of them counts, then the better coverage.
 
 A document is scanned in its own task; only the templates, a fixed list, are sent along.
 
@@ -17,6 +18,8 @@ ignored.
 
 from __future__ import annotations
 
+import json
+import pkgutil
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -28,37 +31,8 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.textkit import slices, span_hashes, text_bytes, word_spans
 
-# Wordings of license notices.
-TEMPLATES = {
-    "Apache-2.0/line": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0/header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
-        "either express or implied. See the License for the specific language governing permissions and limitations under the License."
-    ),
-    "BSD-3-Clause/line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-4.0/line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0/line": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0/line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0/header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
-        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
-        "See the GNU General Public License for more details."
-    ),
-    "MIT/line": "Released under the MIT License.",
-    "MIT/grant": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "MPL-2.0/header": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
-        "You can obtain one at http://mozilla.org/MPL/2.0/."
-    ),
-}
+# Whole texts, headers and notices of licenses, by license id and kind.
+TEMPLATES: dict[str, str] = json.loads(pkgutil.get_data(__package__, "license_texts.json"))
 
 
 @dataclass(frozen=True)
@@ -125,33 +99,61 @@ class Templates:
         words, first = hashed_words(pa.array([texts[n] for n in self.names], pa.string()))
         self.words = [words[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
         self.vocabulary = np.unique(words)
-        self.share = np.zeros((len(self.vocabulary), len(self.names)))  # what a present word can add to the coverage
-        for t, own in enumerate(self.words):
-            for w, n in Counter(own).items():
-                self.share[np.searchsorted(self.vocabulary, w), t] = n / len(own)
+        # what a present word can add to the coverage, one entry for each word of a template
+        entries = [(int(np.searchsorted(self.vocabulary, w)), t, n / len(own)) for t, own in enumerate(self.words) for w, n in Counter(own).items()]
+        word, self.template, self.share = (np.array(c) for c in zip(*sorted(entries)))
+        self.entry = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
+        self.license = [n.partition("/")[0] for n in self.names]
+        self.asked: tuple[list[int], list] = ([], [])
         self.once = [{w: own.index(w) for w, n in Counter(own).items() if n == 1} for own in self.words]
         self.p = p
 
-    def finds(self, t: int, text: list[int]) -> list[tuple[float, int, int]]:
-        """(coverage, first word, end) of the template's matches in a text, not overlapping."""
+    def alone(self, t: int, text: list[int]) -> list[tuple[float, int, int, frozenset[int]]]:
+        """(coverage, first word, end, matched words) of the template's matches in a text, not overlapping."""
         own, once, least = self.words[t], self.once[t], self.p.coverage - 1e-9
         slack, size = len(own) // 4, len(own)
-        places = sorted({x - once[w] for x, w in enumerate(text) if w in once})
-        wanted, found = Counter(own), []
-        for place in places:
+        if len(text) < least * size:
+            return []
+        left, found = Counter(own), []
+        begin = end = common = 0
+        for place in sorted({x - once[w] for x, w in enumerate(text) if w in once}):
             lo, hi = max(0, place - slack), min(len(text), place + size + slack)
-            there = Counter(w for w in text[lo:hi] if w in wanted)
-            if sum(min(n, wanted[w]) for w, n in there.items()) < least * size:
+            if hi <= lo:
+                continue
+            for w in text[end:hi]:  # places rise, so the window only moves on
+                if w in left:
+                    left[w] -= 1
+                    common += left[w] >= 0
+            for w in text[begin:lo]:
+                if w in left:
+                    common -= left[w] >= 0
+                    left[w] += 1
+            begin, end = lo, hi
+            if common < least * size:
                 continue
             pairs = align(text[lo:hi], own)
             if len(pairs) >= least * size:
-                found.append((len(pairs) / size, lo + pairs[0][0], lo + pairs[-1][0] + 1))
-        out: list[tuple[float, int, int]] = []
-        for cover, a, b in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
-            if all(b <= x or y <= a for _, x, y in out):
-                out.append((cover, a, b))
+                found.append((len(pairs) / size, lo + pairs[0][0], lo + pairs[-1][0] + 1, [lo + x for x, _ in pairs]))
+        out: list[tuple[float, int, int, frozenset[int]]] = []
+        for cover, a, b, at in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+            if all(b <= x or y <= a for _, x, y, _ in out):
+                out.append((cover, a, b, frozenset(at)))
         return sorted(out, key=lambda f: f[1])
 
+    def among(self, ts: list[int], text: list[int]) -> list[tuple[int, float, int, int]]:
+        """(template, coverage, first word, end) of some templates' matches, without those that another license explains better."""
+        kept: list[tuple] = []
+        for t, *f in sorted(((t, *f) for t in ts for f in self.alone(t, text)), key=lambda f: (-len(f[4]), -f[1], f[0], f[2])):
+            if all(self.license[t] == self.license[g[0]] or 2 * len(f[3] & g[4]) <= len(f[3]) for g in kept):
+                kept.append((t, *f))
+        return sorted((f[:4] for f in kept), key=lambda f: (f[0], f[2]))
+
+    def finds(self, t: int, text: list[int]) -> list[tuple[float, int, int]]:
+        """(coverage, first word, end) of the template's matches in a text, as all templates together leave them."""
+        if self.asked[0] is not text:
+            self.asked = text, self.among(list(range(len(self.names))), text)
+        return [f[1:] for f in self.asked[1] if f[0] == t]
+
     def scan(self, words: np.ndarray, first: np.ndarray) -> list[list[tuple[int, float, int, int]]]:
         """Matches (template, coverage, first word, end) of every text of a slice."""
         rows = len(first) - 1
@@ -161,11 +163,14 @@ class Templates:
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == words
         text = np.repeat(np.arange(rows), np.diff(first))
-        present = np.zeros((rows, len(self.vocabulary)), dtype=bool)
-        present[text[known], at[known]] = True
-        for row, t in zip(*np.nonzero(present @ self.share >= self.p.coverage - 1e-9)):
-            own = words[first[row] : first[row + 1]].tolist()
-            out[row] += [(int(t), *f) for f in self.finds(int(t), own)]
+        pairs = np.unique(text[known] * len(self.vocabulary) + at[known])
+        row, word = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+        width = self.entry[word + 1] - self.entry[word]
+        entry = np.arange(width.sum()) + np.repeat(self.entry[word] - np.cumsum(width) + width, width)
+        bound = np.bincount(np.repeat(row, width) * len(self.names) + self.template[entry], self.share[entry], rows * len(self.names))
+        able = bound.reshape(rows, len(self.names)) >= self.p.coverage - 1e-9
+        for r in np.flatnonzero(able.any(axis=1)):
+            out[r] = self.among(np.flatnonzero(able[r]).tolist(), words[first[r] : first[r + 1]].tolist())
         return out
 
 

@@ -80,3 +80,37 @@ def test_edges(spark):
     mit = "MIT/line"
     assert got == sorted([(1, 0, None), (2, 0, None), (3, 0, None), (4, 3, mit), (None, 1, mit), (5, 1, mit), (6, 0, None), (6, 0, None)], key=str)
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_versions_and_variants_apart_with_edits():
+    """Every wording with a few edited words is found, and best under its own license, though others differ from it by a word."""
+    rng, templates = random.Random(8), Templates(TEMPLATES, LicenseParams())
+    for name in templates.names:
+        own = TEMPLATES[name].split()
+        if len(own) > 1600:  # the longest texts: exact only, in test_planted_notices
+            continue
+        head, tail = len(own) // 3, len(own) // 2
+        for n in (0, len(own) // 40):
+            edited = list(own)
+            for at in rng.sample(range(head, tail), min(n, tail - head)) if n else []:
+                edited[at] = f"e{rng.randrange(99)}"
+            words, first = hashed_words(pa.array([" ".join(["before", *edited, "after"])]))
+            found = templates.scan(words, first)[0]
+            assert found, name
+            best = min(found, key=lambda m: (-m[1], -len(templates.words[m[0]]), m[0], m[2]))
+            assert {templates.license[m[0]] for m in found} == {name.split("/")[0]} or n, (name, found)
+            assert templates.license[best[0]] == name.split("/")[0] or n and name.split("/")[0] + "-only" == templates.license[best[0]], (name, found)
+
+
+def test_gpl_2_header_is_not_gpl_3():
+    templates = Templates(TEMPLATES, LicenseParams())
+    for name in ("GPL-2.0/header", "BSD-2-Clause/text", "BSD-3-Clause/text", "ISC/text", "LGPL-2.1/header", "AGPL-3.0/header", "CC0-1.0/text", "Unlicense/text"):
+        found = templates.scan(*hashed_words(pa.array([TEMPLATES[name]])))[0]
+        assert [templates.names[m[0]] for m in found] == [name]
+
+
+def test_a_notice_inside_another_text_counts():
+    templates = Templates(TEMPLATES, LicenseParams())
+    own = TEMPLATES["MIT/text"].split()
+    text = " ".join([*own[:90], TEMPLATES["CC-BY-NC-4.0/line"], *own[90:]])
+    assert {templates.names[m[0]] for m in templates.scan(*hashed_words(pa.array([text])))[0]} == {"MIT/grant", "MIT/text", "CC-BY-NC-4.0/line"}
