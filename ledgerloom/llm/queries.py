@@ -118,6 +118,12 @@ select r.doc_id, r.size, r.text_crc32, 'bytes' as law, p.shard,
 from rec r join placed p on p.vslot = r.vslot
 """
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.periodic import collapse_runs
+
+    return collapse_runs(_table(spark, sf_dir, "documents"), plant=F.crc32(F.col("doc_id").cast("string").cast("binary")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -135,6 +141,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": pipeline,
 }
 ORACLES = {"op10_sharding": OP10_SQL}
