@@ -118,6 +118,14 @@ select r.doc_id, r.size, r.text_crc32, 'bytes' as law, p.shard,
 from rec r join placed p on p.vslot = r.vslot
 """
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm.quality import judge
+
+    rows = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rows.select(*base, "score")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm.periodic import collapse_runs
 
@@ -141,6 +149,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op11_quality_rules": op11_quality_rules,
     "op12_periodic_runs": op12_periodic_runs,
     "pipeline": pipeline,
 }
