@@ -132,6 +132,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(_table(spark, sf_dir, "documents"), plant=F.crc32(F.col("doc_id").cast("string").cast("binary")))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from string import ascii_lowercase, ascii_uppercase
+
+    from ledgerloom.llm.merkle import manifest_rows
+
+    tampered = {"text": F.translate("text", ascii_uppercase, ascii_lowercase)}
+    rows = manifest_rows(_table(spark, sf_dir, "documents"), tampered, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -151,6 +161,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_quality_rules": op11_quality_rules,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 ORACLES = {"op10_sharding": OP10_SQL}
