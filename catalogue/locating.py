@@ -8,6 +8,7 @@ from catalogue import inputs as I
 from catalogue.fixture_sql import with_views
 from ledgerloom.operators import grounding as G
 from ledgerloom.operators import maintenance as MT
+from ledgerloom.operators.ordinals import numbered
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,7 +119,7 @@ def _with_fallback(vals):
 
 
 def _keyed(spark, sf):
-    return G._keyed(_with_fallback(values(spark, sf)))
+    return G.distinct_values(_with_fallback(values(spark, sf)))
 
 
 @query("ground_exact", ELEMENTS + " select stem, val, cast(el as bigint) as el from ex")
@@ -161,6 +162,60 @@ def ground_line_rows(spark, sf):
     return boxes.select("stem", "field_path", "el_idx", "page", F.get("bbox", F.lit(0)).alias("x0"))
 
 
+@query("ground_stream", ELEMENTS + " select stem, val, cast(el_idx as bigint) as el_idx from hits where strategy='stream'")
+def ground_stream(spark, sf):
+    found = G.find_values(_with_fallback(values(spark, sf)), elements(spark, sf))
+    return found.filter("strategy = 'stream'").select("stem", "val", "el_idx")
+
+
+# All lines of a nation's customers as one document: as many lines as a twenty-fifth of the table.
+LARGE = with_views("lin") + """,
+  big as (select 'nat_' || c_nationkey as stem, row_number() over (partition by c_nationkey order by lin.ok, line_index) - 1 as k, lin.ok, sku, description, qty, line_cents
+     from lin join orders on o_orderkey=lin.ok join customer on c_custkey=o_custkey),
+  els as (select stem, k*4+unnest(range(0,4)) as el_idx, unnest([coalesce(sku,'-'), split_part(description,' ',1) || ' ' || split_part(description,' ',2),
+      substr(description, strpos(substr(description, strpos(description,' ')+1),' ')+strpos(description,' ')+1), cast(qty as varchar) || ' @ ' || format('{:,.2f}', line_cents/100.0)]) as text from big),
+  vals as (select distinct stem, trim(val) as val from (select stem, unnest([sku, 'Ref ' || ok, split_part(description,' ',3) || ' ' || split_part(description,' ',4)]) as val from big) where trim(val)<>''),
+  seen as (select stem, text, min(el_idx) as el_idx from els group by 1,2),
+  words as (select stem, val, min(el_idx) as el_idx from vals join seen using (stem) where contains(text, val) group by 1,2)"""
+
+
+def large_elements(spark, sf):
+    """Elements of documents that grow with the table; a line's description stands in two elements."""
+    def build():
+        lines = _large(spark, sf)
+        words = F.split("description", " ")
+        cut = F.array_join(F.slice(words, 1, 2), " ")
+        cells = F.array(F.coalesce("sku", F.lit("-")), cut, F.substr("description", F.length(cut) + 2),
+                        F.concat(F.col("qty").cast("string"), F.lit(" @ "), F.format_number(F.col("line_cents").cast("decimal(18,0)") / 100, 2)))
+        return lines.select("stem", F.posexplode(cells).alias("p", "text"), "k").select("stem", (F.col("k") * 4 + F.col("p")).alias("el_idx"), "text")
+
+    return I._once(spark, sf, "large-elements", build)
+
+
+def _large(spark, sf):
+    def build():
+        orders, customers = I.base(spark, sf, "orders"), I.base(spark, sf, "customer")
+        stems = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+            F.col("o_orderkey").alias("ok"), F.concat(F.lit("nat_"), F.col("c_nationkey").cast("string")).alias("stem"))
+        lines = I.view(spark, sf, "lin").select("ok", "line_index", "sku", "description", "qty", "line_cents").join(stems, "ok")
+        return numbered(lines.withColumn("at", F.col("ok") * 1024 + F.col("line_index")), ["stem"], "at", "k", 22).withColumn("k", F.col("k") - 1)
+
+    return I._once(spark, sf, "large-lines", build)
+
+
+def large_values(spark, sf):
+    words = F.split("description", " ")
+    cells = F.array("sku", F.concat(F.lit("Ref "), F.col("ok").cast("string")), F.array_join(F.slice(words, 3, 2), " "))
+    return _large(spark, sf).select("stem", F.explode(cells).alias("value")).filter("value is not null")
+
+
+@query("ground_large", LARGE + " select stem, val, cast(el_idx as bigint) as el_idx from words")
+def ground_large(spark, sf):
+    """Texts in documents of many thousand lines, element by element."""
+    found = G.exact_hits(G.distinct_values(large_values(spark, sf)), large_elements(spark, sf))
+    return found.select("stem", "val", F.col("el").alias("el_idx"))
+
+
 SUPPLIERS = with_views("sup") + """,
   fresh as (select c_custkey as ord, case when c_custkey%3=0 then substr(s.abn,1,2) || ' ' || substr(s.abn,3) when c_custkey%3=1 then '' else '99' || c_custkey end as abn,
      case when c_custkey%5=0 then '  ' || upper(t.name) || ' ' else 'New Trader ' || c_custkey end as name
