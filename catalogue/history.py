@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from catalogue import inputs as I
 from catalogue.fixture_sql import with_views
 from ledgerloom.operators import state as ST
 from ledgerloom.operators import views as V
+from ledgerloom.operators.store import EventStore
+from ledgerloom.session import shared_dir
 from ledgerloom.sources import landing as L
 
 QUERIES, ORACLES = {}, {}
@@ -103,6 +106,20 @@ def state_from_snapshot(spark, sf):
     return state_out(ST.fold(snapshot.unionByName(ev.filter(F.col("ts") >= cut))))
 
 
+@query("state_compacted", STATE + f" select {STATE_OUT} from state")
+def state_compacted(spark, sf):
+    """The log appended in four runs to a store that is compacted after the first and the third: its state is that of the whole log."""
+    store = EventStore(f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", rows_per_bucket=200)
+    cuts = [dt.datetime(2024, 1, d) for d in (1, 9, 16, 24)] + [dt.datetime(2025, 1, 1)]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        day = dt.datetime(2024, 2, 1 + i, tzinfo=dt.timezone.utc)
+        part = events(spark, sf).filter((F.col("ts") < high) & ((F.col("ts") >= low) | F.lit(i == 0)))
+        store.append(part, f"run-{i}", store.begin(spark, f"run-{i}", day))
+        if i in (0, 2):
+            store.compact(spark, day.date())
+    return state_out(store.state(spark))
+
+
 @query("status_transitions", LOG + """
  select op, new_status as status, op <> 'status_changed' or coalesce(new_status in ('needs_review','ready','exported'),false) as accepted, count(*) as n
  from log group by 1,2,3""")

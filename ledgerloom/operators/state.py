@@ -147,8 +147,3 @@ def audit_log(events: DataFrame) -> DataFrame:
                F.to_json(F.struct(F.substring(F.get_json_object("detail", "$.error"), 1, 300).alias("error"))))
         .otherwise(F.col("detail")).alias("detail"),
     )
-
-
-def append_events(events: DataFrame, path: str) -> None:
-    """Append to the log, partitioned by day."""
-    events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import export as X
 from ledgerloom.operators.ordinals import numbered
-from ledgerloom.operators.state import append_events, as_events
+from ledgerloom.operators.state import as_events
+from ledgerloom.operators.store import EventStore
 from ledgerloom.params import EXPORTED, READY, Params
 
 
@@ -32,7 +36,20 @@ def exported_events(stems: DataFrame, at, fmt: str, first_seq: int, run_id: str)
     ))
 
 
-def bulk_export(payloads: DataFrame, at, path: str, log_path: str, fmt: str, first_seq: int, run_id: str) -> None:
-    """Write the run's files first, then its events; after a failure the same run id replaces the files instead of adding to them."""
-    X.write_exports(payloads, path, run_id, fmt)
-    append_events(exported_events(payloads.select("stem"), at, fmt, first_seq, run_id), log_path)
+def bulk_export(
+    spark: SparkSession, payloads: Callable[[dt.datetime], DataFrame], at: dt.datetime, path: str, store: EventStore, fmt: str, first_seq: int, run_id: str
+) -> None:
+    """Write the run's files, then its events, each of them once however often the run is repeated.
+
+    The first attempt fixes the run's time, with which ``payloads`` is called. An attempt that was cut off before its events begins anew and
+    replaces its files; one that was cut off after them, when its invoices already count as exported, is only marked as finished.
+    """
+    if store.finished(spark, run_id):
+        return
+    at = store.begin(spark, run_id, at)
+    if not store.appended(spark, run_id):
+        rows = payloads(at)
+        X.write_exports(rows, path, run_id, fmt)
+        moment = F.lit(at.isoformat()).cast("timestamp")
+        store.append(exported_events(rows.select("stem"), moment, fmt, first_seq, run_id), run_id, at)
+    store.finish(spark, run_id)
