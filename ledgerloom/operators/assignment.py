@@ -1,11 +1,11 @@
 """One-to-one line assignment as one sorted pass per document.
 
 The greedy rule is sequential inside a document: lines come in index order and each takes its first free choice, order lines of its SKU
-by position, then similar descriptions by score and position. What it needs to know about the order is little: which positions carry a SKU
-or a description, and which descriptions are similar to which. A document's rows therefore meet in one partition sorted by (stem, kind,
-place): order lines, similar text pairs, invoice lines. The pass keeps, per SKU and per description, the next free position, so every
-position and every exhausted description is stepped over once. Spark sorts with spilling; nothing is gathered into a list value; the number
-of jobs does not depend on the number of lines, and one path serves every size and both ways of comparing texts.
+by position, then similar descriptions by score and position. A document's rows meet in one partition in the order in which they are
+needed: its order lines, then every invoice line followed by the texts that are similar to its own, best first. So the similar texts pass
+by and are not kept; Spark sorts them with spilling. What a task holds of a document is its order lines: which positions carry a SKU or a
+description, the next free one of each, and which are taken, some hundred bytes an order line. The number of jobs does not depend on the
+number of lines, and one path serves every size and both ways of comparing texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ORDER_LINE, _SIMILAR, _LINE = 0, 1, 2
+_ORDER_LINE, _LINE = 0, 1
 _OUT = pa.schema(
     [("stem", pa.string()), ("line_index", pa.int64()), ("po_pos", pa.int64()), ("tier", pa.int32()), ("score", pa.float64())]
 )
@@ -28,10 +28,8 @@ class _Document:
     def __init__(self) -> None:
         self.by_sku: dict[str, list[int]] = {}
         self.by_text: dict[str, list[int]] = {}
-        self.similar: dict[str, list[tuple[float, str]]] = {}
         self.next: dict[tuple[int, str], int] = {}
         self.taken: set[int] = set()
-        self.spent: dict[str, int] = {}
 
     def order_line(self, pos: int, sku: str | None, text: str | None) -> None:
         if sku is not None:
@@ -48,40 +46,56 @@ class _Document:
         self.next[kind, key] = at
         return places[at] if at < len(places) else None
 
-    def choose(self, sku: str | None, text: str | None) -> tuple[int, int, float] | None:
-        """(position, tier, score) for the next line."""
-        if sku is not None and (pos := self.head(0, sku)) is not None:
-            return pos, 0, 100.0
-        options = self.similar.get(text, ()) if text is not None else ()
-        at = self.spent.get(text, 0)
-        while at < len(options):
-            score, best, end = options[at][0], None, at
-            while end < len(options) and options[end][0] == score:
-                pos = self.head(1, options[end][1])
-                best = pos if best is None or pos is not None and pos < best else best
-                end += 1
-            if best is not None:
-                return best, 1, score
-            at = self.spent[text] = end
-        return None
+class _Choice:
+    """What an invoice line has found so far among the texts similar to its own, which come by falling score."""
+
+    def __init__(self, doc: _Document, line: int, sku: str | None):
+        self.line, self.doc = line, doc
+        first = doc.head(0, sku) if sku is not None else None
+        self.tier, self.score, self.pos = (1, None, None) if first is None else (0, 100.0, first)
+
+    def offer(self, text: str, score: float) -> None:
+        """Of equal scores the first free position counts."""
+        if self.tier == 0 or self.pos is not None and score < self.score:
+            return
+        pos = self.doc.head(1, text)
+        if pos is not None and (self.pos is None or pos < self.pos):
+            self.score, self.pos = score, pos
+
+    def take(self) -> tuple[int, int, int, float] | None:
+        if self.pos is None:
+            return None
+        self.doc.taken.add(self.pos)
+        return self.line, self.pos, self.tier, self.score
 
 
 def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    stem, doc = None, _Document()
+    stem, doc, choice = None, _Document(), None
+
+    def taken() -> list[tuple]:
+        found = choice.take() if choice is not None else None
+        return [] if found is None else [(stem, *found)]
+
     for batch in batches:
         out = []
-        for at, kind, place, sku, text, other, score in zip(*(c.to_pylist() for c in batch.columns)):
+        for at, kind, place, option, sku, text, score in zip(*(c.to_pylist() for c in batch.columns)):
             if at != stem:
-                stem, doc = at, _Document()
+                out += taken()
+                stem, doc, choice = at, _Document(), None
             if kind == _ORDER_LINE:
                 doc.order_line(place, sku, text)
-            elif kind == _SIMILAR:
-                doc.similar.setdefault(text, []).append((score, other))
-            elif (choice := doc.choose(sku, text)) is not None:
-                doc.taken.add(choice[0])
-                out.append((stem, place, *choice))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
+            elif option:
+                choice.offer(text, score)
+            else:
+                out += taken()
+                choice = _Choice(doc, place, sku)
+        yield _rows(out)
+    yield _rows(taken())
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out)) or [()] * len(_OUT)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
 
 
 def assign(lines: DataFrame, stock: DataFrame, texts: DataFrame) -> DataFrame:
@@ -90,20 +104,19 @@ def assign(lines: DataFrame, stock: DataFrame, texts: DataFrame) -> DataFrame:
     ``lines`` (stem, line_index, sku_key, text), ``stock`` (stem, po_pos, sku_key, po_text) and ``texts`` (stem, text, po_text, score), the
     acceptable pairs of distinct texts; a null SKU or text finds nothing.
     """
-    none, no_score = F.lit(None).cast("string"), F.lit(None).cast("double")
+    none, no_score, c = F.lit(None).cast("string"), F.lit(None).cast("double"), F.col
 
-    def rows(df: DataFrame, kind: int, place, sku, text, other, score) -> DataFrame:
+    def rows(df: DataFrame, kind: int, place, option: bool, sku, text, score) -> DataFrame:
         return df.select(
-            "stem", F.lit(kind).alias("kind"), place.cast("bigint").alias("place"), sku.alias("sku"), text.alias("text"),
-            other.alias("other"), score.alias("score"),
+            "stem", F.lit(kind).alias("kind"), place.cast("bigint").alias("place"), F.lit(option).alias("option"), sku.alias("sku"),
+            text.alias("text"), score.alias("score"),
         )
 
-    c = F.col
+    offers = lines.select("stem", "line_index", "text").join(texts, ["stem", "text"])
     every = (
-        rows(stock, _ORDER_LINE, c("po_pos"), c("sku_key"), c("po_text"), none, no_score)
-        .unionByName(rows(texts, _SIMILAR, F.lit(0), none, c("text"), c("po_text"), c("score")))
-        .unionByName(rows(lines, _LINE, c("line_index"), c("sku_key"), c("text"), none, no_score))
+        rows(stock, _ORDER_LINE, c("po_pos"), False, c("sku_key"), c("po_text"), no_score)
+        .unionByName(rows(lines, _LINE, c("line_index"), False, c("sku_key"), none, no_score))
+        .unionByName(rows(offers, _LINE, c("line_index"), True, none, c("po_text"), c("score")))
     )
-    # similar texts come by falling score
-    order = every.repartition(c("stem")).sortWithinPartitions("stem", "kind", "place", "text", c("score").desc(), "other")
+    order = every.repartition(c("stem")).sortWithinPartitions("stem", "kind", "place", "option", c("score").desc(), "text")
     return order.mapInArrow(_pass, "stem string, line_index bigint, po_pos bigint, tier int, score double")

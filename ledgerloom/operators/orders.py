@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import blank_to_null, order_key, spread_nulls, truthy, within, within_pct
 from ledgerloom.functions.similarity import lcs_length, may_reach, reaches, score, token_sort
 from ledgerloom.operators.assignment import assign
+from ledgerloom.operators.simjoin import similar_pairs
+from ledgerloom.operators.textsearch import contained
 from ledgerloom.params import Params
+from ledgerloom.session import materialise
 
 
 def lookup_orders(invoices: DataFrame, purchase_orders: DataFrame) -> DataFrame:
@@ -113,10 +116,30 @@ def _candidate(params: Params) -> Column:
     )
 
 
+#: Documents with at most so many pairs of a line and an order line have their texts compared pair by pair; a search for one text in another
+#: costs far less than a score.
+FEW_PAIRS = {"similarity": 1 << 12, "substring": 1 << 16}
+
+
 def text_pairs(lines: DataFrame, stock: DataFrame, method: str, threshold: int) -> DataFrame:
-    """Acceptable pairs of distinct texts of a document: (stem, text, po_text, score)."""
+    """Acceptable pairs of distinct texts of a document: (stem, text, po_text, score).
+
+    Texts of small documents are paired up and scored. Those of a large document never form all their pairs: a contained text finds the texts
+    that hold its rarest gram, and similar texts are looked for in blocks by length, where their characters bound the score.
+    """
     mine = lines.filter("text is not null").select("stem", "text").distinct()
-    theirs = stock.filter("po_text is not null").select("stem", F.col("stem").alias("__stem"), "po_text").distinct().drop("stem")
+    theirs = stock.filter("po_text is not null").select("stem", "po_text").distinct()
+    counts = lines.groupBy("stem").agg(F.count("text").alias("n")).join(stock.groupBy("stem").agg(F.count("po_text").alias("m")), "stem")
+    large = materialise(counts.filter(F.col("n") * F.col("m") > FEW_PAIRS[method]).select("stem"), "large-documents")
+    small = _paired(mine.join(large, "stem", "left_anti"), theirs.join(large, "stem", "left_anti"), method, threshold)
+    if large.isEmpty():
+        return small
+    mine, theirs = (t.join(large, "stem", "left_semi") for t in (mine, theirs))
+    return small.unionByName(_containing(mine, theirs) if method == "substring" else _similar(mine, theirs, threshold))
+
+
+def _paired(mine: DataFrame, theirs: DataFrame, method: str, threshold: int) -> DataFrame:
+    theirs = theirs.select(F.col("stem").alias("__stem"), "po_text")
     same = F.col("stem") == F.col("__stem")
     if method == "substring":
         hit = F.contains("po_text", "text") | F.contains("text", "po_text")
@@ -126,6 +149,23 @@ def text_pairs(lines: DataFrame, stock: DataFrame, method: str, threshold: int)
     return near.filter(reaches(F.col("lcs"), la, lb, threshold)).select("stem", "text", "po_text", score(F.col("lcs"), la, lb).alias("score"))
 
 
+def _containing(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    inner = contained(mine.withColumnRenamed("text", "part"), theirs.withColumnRenamed("po_text", "whole"))
+    outer = contained(theirs.withColumnRenamed("po_text", "part"), mine.withColumnRenamed("text", "whole"))
+    both = inner.select("stem", F.col("part").alias("text"), F.col("whole").alias("po_text")).unionByName(
+        outer.select("stem", F.col("whole").alias("text"), F.col("part").alias("po_text"))
+    )
+    return both.distinct().withColumn("score", F.lit(80.0))
+
+
+def _similar(mine: DataFrame, theirs: DataFrame, threshold: int) -> DataFrame:
+    """An empty text, which has no length band, is like the empty text alone."""
+    theirs = theirs.select(F.col("stem").alias("__stem"), "po_text").withColumnRenamed("__stem", "stem")  # may be the same column as the other
+    found = similar_pairs(mine.filter("text <> ''"), theirs.filter("po_text <> ''"), "text", "po_text", threshold, scope=["stem"])
+    empty = mine.filter("text = ''").join(theirs.filter("po_text = ''"), "stem").withColumn("score", F.lit(100.0))
+    return found.select("stem", "text", "po_text", "score").unionByName(empty.select("stem", "text", "po_text", "score"))
+
+
 def assign_lines(
     invoices: DataFrame, lines: DataFrame, po_lines: DataFrame, params: Params, method: str = "similarity"
 ) -> DataFrame:

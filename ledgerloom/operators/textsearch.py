@@ -205,6 +205,46 @@ def _target_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([tid.take(row), stem.take(row), kind.take(row), grams], names=["tid", "stem", "kind", "gram"])
 
 
+def _grams_of(lengths: tuple[int, ...]):
+    """Texts (id, stem, text) to their distinct grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tid, stem, text = batch.columns
+            codes = [np.unique(np.concatenate([gram_codes(t, k) for k in lengths])) for t in text.to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(codes)), [len(c) for c in codes]))
+            grams = pa.array(np.concatenate([np.empty(0, np.int64), *codes]))
+            yield pa.RecordBatch.from_arrays([tid.take(row), stem.take(row), grams], names=["hid", "stem", "gram"])
+
+    return run
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """Pairs (stem, part, whole) of a document's distinct texts ``parts`` (stem, part) and ``wholes`` (stem, whole) where one contains the other.
+
+    A part meets only the wholes that hold its rarest gram; an empty part is in all of them.
+    """
+    empty = parts.filter("part = ''").join(wholes, "stem").select("stem", "part", "whole")
+    parts = materialise(parts.filter("part <> ''").withColumn("tid", F.monotonically_increasing_id()), "text-parts")
+    wholes = materialise(wholes.withColumn("hid", F.monotonically_increasing_id()), "text-wholes")
+    lengths = _used_lengths(parts, "part")
+    asked = parts.select("tid", "stem", F.lit(RAW).cast("int").alias("kind"), F.col("part").alias("target"))
+    wanted = asked.mapInArrow(_target_grams, "tid long, stem string, kind int, gram long").select("tid", "stem", "gram")
+    index = wholes.select("hid", "stem", "whole").mapInArrow(_grams_of(lengths), "hid long, stem string, gram long")
+    index = materialise(index.join(wanted.select("stem", "gram").distinct(), ["stem", "gram"], "left_semi"), "text-grams")
+    spread = index.groupBy("stem", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(spread, ["stem", "gram"]).groupBy("tid", "stem").agg(F.min(F.struct("n", "gram")).alias("g"))
+    met = rarest.select("tid", "stem", F.col("g.gram").alias("gram")).join(index, ["stem", "gram"]).select("tid", "hid")
+    pairs = met.join(parts, "tid").join(wholes.drop("stem"), "hid").filter(F.contains("whole", "part"))
+    return pairs.select("stem", "part", "whole").unionByName(empty)
+
+
+def _used_lengths(texts: DataFrame, column: str) -> tuple[int, ...]:
+    """The gram lengths that the texts take (the driver sees one row a length)."""
+    length = F.greatest(*[F.when(F.length(column) >= k, k).otherwise(0) for k in GRAMS])
+    return tuple(r["k"] for r in texts.select(length.alias("k")).filter("k > 0").distinct().collect()) or (GRAMS[-1],)
+
+
 def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Elements (stem, el_idx, text, kind) to their keys."""
     schema = pa.schema([("stem", pa.string()), ("kind", pa.int32()), ("target", pa.string()), ("at", pa.int64())])
@@ -285,10 +325,9 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def _routed(targets: DataFrame, pieces: DataFrame, measures: DataFrame) -> DataFrame:
     """(stem, kind, target, size, chunk): the chunks where a target (tid, stem, kind, target) can be."""
-    lengths = F.greatest(*[F.when(F.length("target") >= k, k).otherwise(0) for k in GRAMS], F.lit(0))
-    used = tuple(r["k"] for r in targets.select(lengths.alias("k")).distinct().collect())
+    lengths = _used_lengths(targets, "target")
     wanted = targets.select("tid", "stem", "kind", "target").mapInArrow(_target_grams, "tid long, stem string, kind int, gram long")
-    index = _dealt(pieces).mapInArrow(_indexer(used or (1,)), "stem string, kind int, chunk long, gram long")
+    index = _dealt(pieces).mapInArrow(_indexer(lengths), "stem string, kind int, chunk long, gram long")
     index = materialise(index.join(wanted.select("stem", "kind", "gram").distinct(), ["stem", "kind", "gram"], "left_semi"), "text-grams")
     spread = index.groupBy("stem", "kind", "gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(spread, ["stem", "kind", "gram"]).groupBy("tid", "stem", "kind").agg(F.min(F.struct("n", "gram")).alias("g"))

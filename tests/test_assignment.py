@@ -1,10 +1,13 @@
 """The sorted pass must give the assignment of the greedy rule, for every size and in a fixed number of jobs."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import orders as O
+from ledgerloom.operators.textsearch import contained
 from ledgerloom.params import MONEY, Params
 
 WORDS = ["red", "ring", "blue", "widget", "small", "gear"]
@@ -86,10 +89,11 @@ def test_pass_follows_the_greedy_rule(spark):
 
 
 def test_substring_of_a_large_document(spark):
-    """More than 4 096 pairs, different texts: no bound by size."""
-    docs = {"big": ([(i, None, f"part {i} of") for i in range(120)], [(p, None, f"Part {p} of the lot") for p in range(119, -1, -1)])}
-    links, lines, stock = tables(spark, docs)
-    assert picks(O.assign_lines(links, lines, stock, Params(), "substring"))["big"] == {i: i for i in range(120)}
+    """Different texts, compared pair by pair and through the gram index: no bound by size."""
+    for n in (120, 300):
+        docs = {"big": ([(i, None, f"part {i} of") for i in range(n)], [(p, None, f"Part {p} of the lot") for p in range(n - 1, -1, -1)])}
+        links, lines, stock = tables(spark, docs)
+        assert picks(O.assign_lines(links, lines, stock, Params(), "substring"))["big"] == {i: i for i in range(n)}
 
 
 def test_one_document_of_equal_lines(spark):
@@ -99,9 +103,9 @@ def test_one_document_of_equal_lines(spark):
 
 
 def test_jobs_do_not_grow_with_lines(spark):
-    """Different texts on one side: the number of jobs is the same for 16, 64 and 256 lines."""
+    """Different texts on one side: the number of jobs is the same for 16 and 64 lines, and for documents whose texts are indexed."""
     tracker, counts = spark.sparkContext.statusTracker(), []
-    for n in (16, 64, 256):
+    for n in (16, 64, 128, 256, 512):
         docs = {"d": ([(i, None, f"ring number {i:04d}") for i in range(n)], [(p, None, "ring number 0000") for p in range(n)])}
         links, lines, stock = tables(spark, docs)
         spark.sparkContext.setJobGroup(f"assign{n}", "assignment")
@@ -109,4 +113,53 @@ def test_jobs_do_not_grow_with_lines(spark):
         spark.sparkContext.setJobGroup("", "")
         assert got["d"] == {i: i for i in range(n)}
         counts.append(len(tracker.getJobIdsForGroup(f"assign{n}")))
-    assert max(counts) - min(counts) <= 2, counts  # adaptive execution may merge a stage's job with another's
+    for same in (counts[:2], counts[2:]):
+        assert max(same) - min(same) <= 2, counts  # adaptive execution may merge a stage's job with another's
+
+
+def test_mixed_sizes_follow_the_greedy_rule(spark):
+    """Small documents next to large ones, with empty and repeated texts; both ways of comparing."""
+    docs = random_docs(11, 6, 8) | {f"large{k}": d for k, d in enumerate(random_docs(12, 2, 120).values())}
+    docs["large0"][0].append((500, None, "   "))
+    docs["large1"][1].append((501, None, ""))
+    want = {s: g for s, (ls, ps) in docs.items() if (g := greedy([(i, k, d and d.strip()) for i, k, d in ls], ps, 65))}
+    links, lines, stock = tables(spark, docs)
+    assert picks(O.assign_lines(links, lines, stock, Params())) == want
+
+
+def test_containment_is_that_of_all_pairs(spark):
+    rnd = random.Random(3)
+    text = lambda: "".join(rnd.choice("ab é") for _ in range(rnd.choice([0, 1, 2, 4, 9, 14, 40])))
+    wholes = {("d", text()) for _ in range(150)} | {("e", text()) for _ in range(5)}
+    parts = {("d", text()) for _ in range(150)} | {(s, w[3 : 3 + rnd.randrange(20)]) for s, w in wholes}
+    found = contained(spark.createDataFrame(list(parts), "stem string, part string"), spark.createDataFrame(list(wholes), "stem string, whole string"))
+    assert sorted(map(tuple, found.collect())) == sorted((s, p, w) for s, p in parts for t, w in wholes if s == t and p in w)
+
+
+def test_a_task_does_not_keep_similar_texts(spark):
+    """2 000 lines against 2 000 order lines of one document, every text similar to every other: four million pairs pass by."""
+    n = 2000
+    docs = {"big": ([(i, None, f"industrial machine part {i:05d}") for i in range(n)], [(p, None, f"industrial machine part {p:05d}") for p in range(n)])}
+    links, lines, stock = tables(spark, docs)
+    got = picks(O.assign_lines(links, lines, stock, Params()))["big"]
+    assert got == {i: i for i in range(n)}
+
+
+def test_the_pass_holds_order_lines_only():
+    """The state of a document does not grow while similar texts pass by."""
+    from ledgerloom.operators.assignment import _pass
+
+    names = ["stem", "kind", "place", "option", "sku", "text", "score"]
+    def batches():
+        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*[("d", 0, p, False, None, f"t{p}", None) for p in range(50)]))))
+        for i in range(60):
+            offers = [("d", 1, i, True, None, f"t{p}", 90.0 - p % 7) for p in sorted(range(50), key=lambda p: (p % 7, f"t{p}"))]
+            rows = [("d", 1, i, False, None, None, None), *offers]
+            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows))))
+
+    tracemalloc.start()
+    peaks = []
+    for _ in _pass(batches()):
+        peaks.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert max(peaks[30:]) < max(peaks[5:20]) + 50_000
