@@ -26,11 +26,17 @@ def duplicate_warnings(requests: DataFrame, master: DataFrame) -> DataFrame:
     def abn(c: str):
         return F.nullif(strip(F.replace(c, F.lit(" "), F.lit(""))), F.lit(""))
 
-    known = master.select(F.col("ord").alias("m_ord"), "id", F.col("name").alias("m_name"), abn("abn").alias("abn_key"), F.lower(strip(F.col("name"))).alias("name_key"))
+    row = F.struct(F.col("ord").alias("m_ord"), "id", F.col("name").alias("m_name"))
+    known = master.select(row.alias("m"), abn("abn").alias("abn_key"), F.lower(strip(F.col("name"))).alias("name_key"))
     asked = requests.select("ord", abn("abn").alias("abn_key"), F.lower(strip(F.col("name"))).alias("name_key"))
-    by_abn = asked.join(known.drop("name_key"), "abn_key").select("ord", "m_ord", F.lit(0).alias("rule"), "id", "m_name")
-    by_name = asked.join(known.drop("abn_key"), "name_key").select("ord", "m_ord", F.lit(1).alias("rule"), "id", "m_name")
-    first = by_abn.unionByName(by_name).groupBy("ord").agg(F.min(F.struct("m_ord", "rule", "id", "m_name")).alias("d"))
+
+    def first_of(key: str, rule: int) -> DataFrame:
+        """At most one master row a request, however many share the key."""
+        index = known.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("m").alias("m"))
+        return asked.join(index, key).select("ord", "m.m_ord", F.lit(rule).alias("rule"), "m.id", "m.m_name")
+
+    both = first_of("abn_key", 0).unionByName(first_of("name_key", 1))
+    first = both.groupBy("ord").agg(F.min(F.struct("m_ord", "rule", "id", "m_name")).alias("d"))
     text = F.when(
         F.col("d.rule") == 0, F.concat(F.lit("A supplier with this ABN already exists: "), F.col("d.m_name"), F.lit(" ("), F.col("d.id"), F.lit(")"))
     ).otherwise(F.concat(F.lit("A supplier with this name already exists ("), F.col("d.id"), F.lit(")")))

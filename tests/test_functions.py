@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.maintenance import duplicate_warnings
 from ledgerloom.functions import scalars as S
 from ledgerloom.functions.similarity import lcs_block, lcs_length, lcs_native, lcs_pairs, token_sort
 from ledgerloom.operators.ordinals import numbered, running_sum
@@ -96,3 +97,14 @@ def test_response_cleanup(spark):
     raw = ['```json\n{"a": [1, 2,],}\n```', 'Sure: {"a": 1} done', "nothing"]
     df = spark.createDataFrame([(r,) for r in raw], "r string")
     assert [r[0] for r in df.select(S.clean_response(F.col("r"))).collect()] == ['{"a": [1, 2]}', '{"a": 1}', None]
+
+
+def test_a_name_that_most_suppliers_share_meets_each_request_once(spark):
+    master = spark.createDataFrame([(i, f"S{i}", "Same Pty" if i % 10 else "Other", f"{i % 7}1") for i in range(500)], "ord int, id string, name string, abn string")
+    asked = spark.createDataFrame([(i, " same PTY ", "" if i % 2 else "6 1") for i in range(100)], "ord int, name string, abn string")
+    out = duplicate_warnings(asked, master)
+    got = {r.ord: r.id for r in out.collect()}
+    # by number the first is S6, by name S1; the first in file order counts
+    assert got == {i: "S1" for i in range(100)}
+    joined = [n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in n]
+    assert len(joined) == 2
