@@ -6,19 +6,20 @@ sequence also starts earlier (in a smaller doc_id, or further up in the same doc
 1. **Recurring passages are confirmed.** Each window is represented by its anchor, the smallest hash among the 5-word runs that it holds
    (leftmost of equals), so equal windows have the same anchor at the same distance, and about one word in eight is an anchor. An anchor
    travels once, with 48-bit digests of the windows that it stands for; rows of one anchor meet sorted by (doc_id, place), and every
-   window that was seen before in its group is a repeat. Adjacent repeats of a document make up a passage.
-2. **Automata.** Documents meet their passages by doc_id. Blocks of documents with bounded text are shards: the distinct passages confirmed
-   in a shard are compiled into one Aho-Corasick automaton.
-3. **Every document of the shard is streamed** through it. An occurrence goes if it stands at or after the first place where its passage
-   was confirmed as a repeat; documents' own passages are found there as well, so nothing depends on what shares a shard.
+   window that was seen before in its group is a repeat. Documents are dealt into shards by a hash; of the repeats of a window in a
+   shard the first one alone is confirmed. Adjacent confirmed windows make up a passage.
+2. **Automata.** A shard's passages are compiled into one Aho-Corasick automaton. Its phrases are tiles of half a window, one after the other
+   from a passage's start, so every window of a passage holds a whole tile; phrases of bounded length keep failure chains short.
+3. **Every document of the shard is streamed** through it: the automaton finds where a passage recurs, which is known of one place only. A
+   tile that is found is extended along its passage; what is then a window long goes if it stands at or after the place where it was confirmed.
 
-Hot anchors (a run of 5 words that a noticeable share of documents has) are found in a small sample; the sample only routes. Their windows
-travel one by one under a key of their own, after repeats within a slice were settled on the spot, so a phrase in a third of all documents
-neither gathers in a task nor needs memory for its varying surroundings.
+A shard holds a bounded amount of text (or one longer text). Hot anchors (a run of 5 words that a noticeable share of documents has) are found
+in a small sample; the sample only routes. Their windows travel one by one under a key of their own, after repeats within a slice were
+settled on the spot, so a phrase in a third of all documents neither gathers in a task nor needs memory for its varying surroundings.
 
 Defined cases: null and blank texts have no words; rows without an id come after all ids and are one document; rows that share a doc_id are
 places of the same document, and of exactly repeated rows none is earlier than the other, so both keep their words; an empty table gives no
-rows; other columns pass through only if asked for.
+rows; other columns pass through as one struct, and only if asked for.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgerloom.llm.textkit import gram_hashes, mix, slices, sliding_min, span_hashes, text_bytes, word_spans
 
@@ -45,7 +48,7 @@ _LAST = (1 << 63) - 1
 class PhraseParams:
     window: int = 20
     anchor: int = 5
-    #: Text bytes of the documents that share an automaton.
+    #: Text bytes of the documents that share an automaton, on average.
     shard_bytes: int = 1 << 20
     #: Documents looked at for hot anchors, and the share of them that makes an anchor hot. Both steer routing only.
     sample_rows: int = 2000
@@ -119,8 +122,23 @@ def _anchor_mapper(p: PhraseParams, hot: np.ndarray):
     return run
 
 
-def _repeat_mapper():
-    """Rows sorted by (anchor, did, start): emits those with a window that was there before."""
+_PRIME = (1 << 31) - 1
+
+
+def shard_of(did: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a document: two multiplicative hashes that no engine lets overflow."""
+    return (did % _PRIME * 48271 % _PRIME + (did >> 31) % _PRIME * 69621 % _PRIME) % shards
+
+
+def shard_column(did: Column, shards: int) -> Column:
+    """``shard_of`` as an expression."""
+    prime = F.lit(_PRIME).cast("long")
+    low, high = (F.pmod(F.pmod(x, prime) * F.lit(k).cast("long"), prime) for x, k in ((did, 48271), (F.shiftright(did, 31), 69621)))
+    return F.pmod(low + high, F.lit(shards).cast("long"))
+
+
+def _repeat_mapper(shards: int):
+    """Rows sorted by (anchor, did, start): emits those with a window that was there before, but not yet in their shard (of this batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))
@@ -152,8 +170,9 @@ def _repeat_mapper():
                 lead = len(seen[0]) if same else 0
                 keys, dids, starts = (np.concatenate([a[:lead], b]) for a, b in zip(seen, (key, did[row], (start[row] + j).astype(np.int32))))
                 _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-                again = ((dids != dids[index[inverse]]) | (starts != starts[index[inverse]]))[lead:]
-                np.bitwise_or.at(mask, row[again], np.int64(1) << j[again])
+                again = np.flatnonzero(((dids != dids[index[inverse]]) | (starts != starts[index[inverse]]))[lead:])
+                _, once = np.unique(mix(key[again] ^ mix(shard_of(did[row[again]], shards).view(np.uint64))), return_index=True)
+                np.bitwise_or.at(mask, row[again[once]], np.int64(1) << j[again[once]])
                 tail = np.concatenate([np.full(lead, anchor[-1] == last and same), anchor[row] == anchor[-1]])
                 keep = index[tail[index]]
                 seen = keys[keep], dids[keep], starts[keep]
@@ -162,17 +181,20 @@ def _repeat_mapper():
             last = anchor[-1]
             hit = np.flatnonzero(mask)
             if len(hit):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").take(pa.array(hit)), batch.column("tkey").take(pa.array(hit)), pa.array(start[hit]), pa.array(mask[hit].astype(np.int32))],
-                    names=["did", "tkey", "start", "mask"],
-                )
+                columns = [batch.column("did").take(pa.array(hit)), batch.column("tkey").take(pa.array(hit))]
+                columns += [pa.array(shard_of(did[hit], shards)), pa.array(start[hit]), pa.array(mask[hit].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["did", "tkey", "shard", "start", "mask"])
 
     return run
 
 
-def passages(runs: list[dict], window: int) -> list[tuple[int, int]]:
-    """(first word, end) of the passages that the repeats in ``runs`` (start, mask) make up."""
-    starts = sorted({r["start"] + j for r in runs for j in range(r["mask"].bit_length()) if r["mask"] >> j & 1})
+def starts_of(runs: list[tuple[int, int]]) -> list[int]:
+    """The first words of the windows in ``runs`` (start, mask)."""
+    return sorted({start + j for start, mask in runs for j in range(mask.bit_length()) if mask >> j & 1})
+
+
+def passages(starts: list[int], window: int) -> list[tuple[int, int]]:
+    """(first word, end) of the passages that confirmed windows make up."""
     out: list[list[int]] = []
     for s in starts:
         if out and s == out[-1][1] - window + 1:
@@ -182,45 +204,59 @@ def passages(runs: list[dict], window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def compile_phrases(shard: list[tuple[int, list[str], list[tuple[int, int]]]], window: int):
-    """An automaton over the distinct phrases of the shard's (did, words, passages), each with the first place where it was confirmed.
-
-    A passage is laid out in phrases of one window each, the last one flush with its end: phrases of bounded length keep the automaton's
-    failure chains short, and all of them are confirmed repeats.
-    """
-    known: dict[str, tuple[int, int]] = {}
-    for did, words, spans in shard:
-        for a, b in spans:
-            for s in [*range(a, b - window, window), b - window]:
-                phrase = f" {' '.join(words[s : s + window])} "
-                if phrase not in known or (did, s) < known[phrase]:
-                    known[phrase] = (did, s)
-    if not known:
-        return None
-    automaton = ahocorasick.Automaton()
-    for phrase, place in known.items():
-        automaton.add_word(phrase, place)
-    automaton.make_automaton()
-    return automaton
-
-
-def locate(automaton, did: int, words: list[str], window: int) -> np.ndarray | None:
-    """Which words the automaton's phrases cover at or after their first confirmed places; None where it finds none."""
-    hits = []
-    ends = None
-    for at, first in automaton.iter(f" {' '.join(words)} "):
-        if ends is None:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        start = int(np.searchsorted(ends, at)) + 1 - window
-        if (did, start) >= first:
-            hits.append(start)
-    if not hits:
-        return None
-    edges = np.zeros(len(words) + window, dtype=np.int64)
-    edges[hits] = 1
-    sums = np.cumsum(edges)
-    sums[window:] -= sums[:-window].copy()
-    return sums[: len(words)] > 0
+def first_windows(starts: list[int], words: list[str], window: int, seen: set[int]) -> list[int]:
+    """Those of the windows whose words are not in ``seen``, which takes them up."""
+    keys = gram_hashes(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), window)[starts].tolist()
+    return [s for s, k in zip(starts, keys) if not (k in seen or seen.add(k))]
+
+
+class Phrases:
+    """The passages of a shard, and an automaton over their tiles."""
+
+    def __init__(self, documents: list[tuple[int, list[str], list[tuple[int, int]]]], window: int):
+        """``documents``: (did, words, passages)."""
+        self.window, self.tile = window, window // 2
+        self.known: list[tuple[int, int, list[str]]] = []
+        tiles: dict[str, list[tuple[int, int]]] = {}
+        for did, words, spans in documents:
+            for a, b in spans:
+                number = len(self.known)
+                self.known.append((did, a, words[a:b]))
+                for t in range(a, b - self.tile + 1, self.tile):
+                    tiles.setdefault(f" {' '.join(words[t : t + self.tile])} ", []).append((number, t - a))
+        self.automaton = ahocorasick.Automaton()
+        for phrase, places in tiles.items():
+            self.automaton.add_word(phrase, places)
+        if tiles:
+            self.automaton.make_automaton()
+
+    def locate(self, did: int, words: list[str]) -> np.ndarray | None:
+        """Which words are covered by a confirmed window at or after the place where it was confirmed; None where there is none."""
+        if not self.known or len(words) < self.window:
+            return None
+        edges, ends, reached = None, None, {}
+        for at, places in self.automaton.iter(f" {' '.join(words)} "):
+            if ends is None:
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            tile = int(np.searchsorted(ends, at)) + 1 - self.tile
+            for number, offset in places:
+                # a passage is followed along a diagonal once, up to where it ended
+                diagonal = number, tile - offset
+                if reached.get(diagonal, 0) > tile:
+                    continue
+                owner, start, phrase = self.known[number]
+                low, high = tile, tile + self.tile
+                p, q = offset, offset + self.tile
+                while p and low and words[low - 1] == phrase[p - 1]:
+                    p, low = p - 1, low - 1
+                while q < len(phrase) and high < len(words) and words[high] == phrase[q]:
+                    q, high = q + 1, high + 1
+                reached[diagonal] = high
+                if high - low >= self.window and (did, low) >= (owner, start + p):
+                    edges = np.zeros(len(words) + 1, dtype=np.int64) if edges is None else edges
+                    edges[low] += 1
+                    edges[high] -= 1
+        return None if edges is None else np.cumsum(edges)[:-1] > 0
 
 
 def kept_text(text: str, gone: np.ndarray) -> str:
@@ -239,37 +275,54 @@ def kept_text(text: str, gone: np.ndarray) -> str:
     return " ".join(parts)
 
 
-def _removal_mapper(p: PhraseParams, extra: list[str], schema: pa.Schema):
+def _removal_mapper(p: PhraseParams, schema: pa.Schema):
+    """Documents and their confirmed windows, sorted by (shard, did, tkey), the documents before the windows."""
+
+    def finished(rows: list[dict], runs: dict[tuple[int, int], list[tuple[int, int]]]) -> pa.RecordBatch:
+        split = [WORD.findall(r["text"] or "") for r in rows]
+        words_of = {(r["did"], r["tkey"]): words for r, words in zip(rows, split)}
+        seen: set[int] = set()  # several tasks may have confirmed a window of the shard
+        confirmed = ((key, words_of[key], starts_of(found)) for key, found in sorted(runs.items()))
+        phrases = Phrases([(key[0], words, passages(first_windows(s, words, p.window, seen), p.window)) for key, words, s in confirmed], p.window)
+        for row, words in zip(rows, split):
+            gone = phrases.locate(row["did"], words)
+            left = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
+            text = row["text"] or ""
+            row |= {
+                "n_words": len(words), "n_removed": len(words) - len(left), "kept_text": text if gone is None else kept_text(text, gone),
+                "kept_sha256": hashlib.sha256(" ".join(left).encode("utf-8", "surrogatepass")).hexdigest(),
+            }
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in (s for b in batches for s in slices(b, "text", p.shard_bytes)):
-            texts = [t or "" for t in piece.column("text").to_pylist()]
-            split = [WORD.findall(t) for t in texts]
-            dids = piece.column("did").to_pylist()
-            shard = [(d, w, passages(r, p.window)) for d, w, r in zip(dids, split, piece.column("runs").to_pylist()) if r]
-            automaton = compile_phrases(shard, p.window)
-            total, removed, digests, kept = [], [], [], []
-            for did, text, words in zip(dids, texts, split):
-                gone = locate(automaton, did, words, p.window) if automaton is not None and len(words) >= p.window else None
-                left = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-                total.append(len(words))
-                removed.append(len(words) - len(left))
-                digests.append(hashlib.sha256(" ".join(left).encode("utf-8", "surrogatepass")).hexdigest())
-                kept.append(text if gone is None else kept_text(text, gone))
-            columns = {"n_words": total, "n_removed": removed, "kept_sha256": digests, "kept_text": kept}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], f.type) if f.name in columns else piece.column(f.name).cast(f.type) for f in schema], schema=schema
-            )
+        shard, rows, runs = None, [], {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != shard:
+                    if rows:
+                        yield finished(rows, runs)
+                    shard, rows, runs = row["shard"], [], {}
+                if row["mask"] is None:
+                    rows.append(row)
+                else:
+                    runs.setdefault((row["did"], row["tkey"]), []).append((row["start"], row["mask"]))
+        if rows:
+            yield finished(rows, runs)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, p: PhraseParams = PhraseParams(), with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text and the columns ``extra`` of ``docs``."""
-    ids = docs.select("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("doc_id", F.lit(_LAST))).alias("d")).first()
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text and a struct ``extra`` of these columns of ``docs``."""
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(did).alias("d"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards = max(1, -(-(ids["bytes"] or 0) // p.shard_bytes))
     # rows that share an id are told apart by their texts
     tkey = F.xxhash64("text") if ids["n"] != ids["d"] else F.lit(0).cast("long")
-    named = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "tkey": tkey})
-    rows = named.select("did", "tkey", "text")
+    columns = [did.alias("did"), tkey.alias("tkey"), F.col("text"), F.col("doc_id")]
+    # one struct, so that no column of the table meets a name used here
+    rest = [F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra")] if extra else []
+    rows = docs.select(*columns[:3])
     schema = "anchor long, did long, tkey long, start int, n int, digests binary"
     hot = np.empty(0, np.uint64)
     if ids["n"]:
@@ -280,13 +333,12 @@ def remove_repeats(docs: DataFrame, p: PhraseParams = PhraseParams(), with_text:
         hot = np.array(sorted(r["anchor"] for r in few.filter(F.col("count") >= least).select("anchor").collect()), dtype=np.int64).view(np.uint64)
     anchors = rows.mapInArrow(_anchor_mapper(p, np.sort(hot)), schema)
     meeting = anchors.repartition(F.col("anchor")).sortWithinPartitions("anchor", "did", "start")
-    repeats = meeting.mapInArrow(_repeat_mapper(), "did long, tkey long, start int, mask int")
-    runs = repeats.groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "mask")).alias("runs"))
-    columns = ["doc_id", *extra, "n_words", "n_removed", "kept_sha256"] + (["kept_text"] if with_text else [])
-    joined = named.select("did", "tkey", "text", "doc_id", *extra).join(runs, ["did", "tkey"], "left")
-    kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept_text": "string"}
-    ddl = ", ".join(f"`{c}` {kinds.get(c) or docs.schema[c].dataType.simpleString()}" for c in columns)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return joined.mapInArrow(_removal_mapper(p, list(extra), to_arrow_schema(StructType.fromDDL(ddl))), ddl)
+    repeats = meeting.mapInArrow(_repeat_mapper(shards), "did long, tkey long, shard long, start int, mask int")
+    both = docs.select(*columns, shard_column(did, shards).alias("shard"), *rest).unionByName(repeats, allowMissingColumns=True)
+    dealt = both.repartition("shard").sortWithinPartitions("shard", "did", "tkey", F.col("mask").isNotNull())
+    kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "n_words": "long", "n_removed": "long", "kept_sha256": "string"}
+    kinds |= {"kept_text": "string"} if with_text else {}
+    out = StructType.fromDDL(", ".join(f"{c} {k}" for c, k in kinds.items()))
+    if extra:
+        out = out.add("extra", both.schema["extra"].dataType)
+    return dealt.mapInArrow(_removal_mapper(p, to_arrow_schema(out)), out)

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.phrases import PhraseParams, remove_repeats
+from ledgerloom.llm.phrases import PhraseParams, Phrases, first_windows, passages, remove_repeats, shard_column, shard_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,4 +73,53 @@ def test_kept_text_has_the_kept_words(spark):
     rows = corpus(9, 80)
     df = spark.createDataFrame([(a, b, "s") for a, b in rows], "doc_id long, text string, source string")
     for r in remove_repeats(df, with_text=True, extra=("source",)).collect():
-        assert hashlib.sha256(" ".join(WORD.findall(r.kept_text)).encode()).hexdigest() == r.kept_sha256 and r.source == "s"
+        assert hashlib.sha256(" ".join(WORD.findall(r.kept_text)).encode()).hexdigest() == r.kept_sha256 and r.extra.source == "s"
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Every name that the operator uses inside or returns."""
+    names = ["did", "tkey", "shard", "start", "mask", "anchor", "digests", "n", "n_words", "n_removed", "kept_sha256", "kept_text", "extra", "a.b"]
+    rows = corpus(10, 40)
+    df = spark.createDataFrame([(a, b, *[f"{c} of {a}" for c in names]) for a, b in rows], ["doc_id", "text", *names])
+    out = remove_repeats(df, with_text=True, extra=tuple(names)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == brute(rows)
+    assert all(r.extra.asDict() == {c: f"{c} of {r.doc_id}" for c in names} for r in out)
+
+
+def test_automata_find_what_is_not_listed(spark):
+    """One place of a recurring window is confirmed in a shard; without the automaton the others would stay."""
+    rows = corpus(12, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = [{"doc_id": a, "text": b} for a, b in rows]
+    repeats = {}
+    for doc_id, words in sorted((r["doc_id"], WORD.findall(r["text"])) for r in wanted):
+        for s in range(len(words) - 19):
+            repeats.setdefault(tuple(words[s : s + 20]), []).append((doc_id, s))
+    places = sum(len(v) - 1 for v in repeats.values())
+    recurring = [(v[1], k) for k, v in repeats.items() if len(v) > 1]
+    known = {}
+    for (doc_id, s), _ in recurring:
+        known.setdefault(doc_id, []).append(s)
+    by_id = dict(rows)
+    phrases = Phrases([(d, WORD.findall(by_id[d]), passages(sorted(known[d]), 20)) for d in sorted(known)], 20)
+    gone = {d: phrases.locate(d, WORD.findall(t)) for d, t in rows}
+    assert {d: 0 if g is None else int(g.sum()) for d, g in gone.items()} == {d: n for d, _, n, _ in brute(rows)}
+    assert len(recurring) < places / 2
+    assert sum(r.n_removed for r in remove_repeats(df).collect()) == sum(n for _, _, n, _ in brute(rows))
+
+
+def test_periodic_passages_do_not_multiply():
+    """Equal tiles of one passage: as many places as distinct windows, not as words."""
+    words = ["a", "b", "c"] * 4000
+    starts = first_windows(list(range(3, len(words) - 19)), words, 20, set())
+    assert starts == [3, 4, 5]
+    phrases = Phrases([(1, words, passages(starts, 20))], 20)
+    assert phrases.locate(1, words).sum() == len(words) - 3 and phrases.locate(2, words).all()
+
+
+def test_shards_are_the_same_in_both_engines(spark):
+    ids = [0, 1, 2, 999, -1, -(1 << 62), (1 << 63) - 1, 1 << 31, (1 << 31) - 1] + [k * 1000 for k in range(500)]
+    df = spark.createDataFrame([(i,) for i in ids], "did long").select("did", shard_column(F.col("did"), 37).alias("s"))
+    got = {r.did: r.s for r in df.collect()}
+    assert [got[i] for i in ids] == shard_of(np.array(ids, dtype=np.int64), 37).tolist()
+    assert max(np.bincount(shard_of(np.arange(0, 10**6, 1000), 37))) < 60

@@ -3,6 +3,9 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
+
+import pytest
 
 from corpus_pipeline import STAGES, run
 
@@ -85,6 +88,62 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sizes == {i: len(t.split()) + 1 for i, t in want}
 
 
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "house", "river", "green", "walks", "under", "stone", "light"]) + rng.choice(["", "s", "ly", "ing"]) for _ in range(n))
+
+
+def stages_of(spark, folder, rows, schema):
+    """The documents after each of the first three stages."""
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    docs, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in STAGES[:3]:
+        stage(spark, docs, str(folder)).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        out.append(docs)
+    return out
+
+
+NAMES = [
+    "n_words", "n_removed", "kept_sha256", "kept_text", "did", "tkey", "shard", "start", "mask", "extra", "runs", "row", "key", "pos", "tree", "last", "id", "tie",
+    "mid", "range", "total", "class_id", "node", "bucket", "lang_pred", "score", "held_out", "cluster", "length", "piece", "bin", "digest", "anchor", "__stem",
+]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_columns_of_any_name_pass_through(spark, tmp_path, repeated):
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(12)]
+    ids = [i // 2 if repeated else i for i in range(12)]
+    rows = [(i, t, "en", "s", len(t), *[f"{c}{k}" for c in NAMES]) for k, (i, t) in enumerate(zip(ids, texts))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in NAMES)
+    for docs in stages_of(spark, tmp_path, rows, schema):
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *NAMES]
+        assert sorted(map(tuple, docs.collect())) == sorted(rows)
+    assert run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(set(ids))
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    """One id, two texts: both stay. Copies collapse to one, also without an id; a rejected text takes no namesake with it."""
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    near = a + " again"
+    given = [(1, a), (1, b), (1, a), (None, c), (None, c), (None, d), (2, b), (3, "12 34"), (3, near), (4, None), (None, "  ")]
+    rows = [(i, t, "en", None, 0, n) for n, (i, t) in enumerate(given)]
+    first, second, third = stages_of(spark, tmp_path, rows, "doc_id long, text string, lang string, source string, n_chars long, row int")
+    assert Counter((r.doc_id, r.text) for r in first.collect()) == Counter((i, t) for i, t in given if t and t.split() and t != "12 34")
+    assert sorted(((r.doc_id, r.text) for r in second.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (None, d)], key=str)
+    assert third.count() == 4
+
+
+def test_the_run_leaves_its_last_table_only(spark, tmp_path):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 50), "en", "s", 1) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = run(spark, str(tmp_path))
+    folder = Path(out.inputFiles()[0].removeprefix("file:")).parents[1]
+    assert [f.name for f in folder.iterdir()] == ["packing"] and out.count() == 5
+
+
 def test_given_table(spark):
     out = run(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
