@@ -9,6 +9,9 @@ words' ids.
 The result equals encoding each word by itself: within a word the lowest rank goes first and, among equal ranks, the leftmost place. A merge
 is therefore applied to the leftmost place of a word at a time, and further places of the same word come after any lower rank that it opened.
 
+A word of more than ``LONG_WORD`` bytes (letters without spaces, long numbers) is replayed by itself from a heap of (rank, place), so that its
+equal pairs need no step each through all its positions; its cost is that of sorting its bytes.
+
 Blocks stand for the corpus: one table of all words would have to meet the texts again through a shuffle of both, which a scan does not need.
 
 Defined cases: a null text is empty (no ids); an empty text has no ids; bytes are those of the UTF-8 text; equal rows give equal rows; an
@@ -22,7 +25,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from ledgerloom.llm.textkit import slices
 
 #: Text bytes whose words are replayed together.
 BLOCK_BYTES = 16 << 20
+#: Words above so many bytes are replayed place by place.
+LONG_WORD = 256
 _NONE = np.int64(1 << 40)
 
 
@@ -44,6 +49,7 @@ class Vocabulary:
     byte_ids: np.ndarray
     pair_keys: np.ndarray
     pair_ranks: np.ndarray
+    by_pair: dict[int, int]
 
     @property
     def size(self) -> int:
@@ -75,7 +81,7 @@ def load(path: str) -> Vocabulary:
                 pairs.append((left * len(tokens) + right, rank))
     pairs.sort()
     keys, ranks = np.array(pairs, dtype=np.int64).T
-    return Vocabulary(tuple(tokens), np.array([ids[bytes([b])] for b in range(256)], dtype=np.int64), keys.copy(), ranks.copy())
+    return Vocabulary(tuple(tokens), np.array([ids[bytes([b])] for b in range(256)], dtype=np.int64), keys.copy(), ranks.copy(), dict(pairs))
 
 
 def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -153,16 +159,53 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return token[alive], np.searchsorted(alive, np.concatenate([[0], ends]))
 
 
+def replay_long(word: bytes, v: Vocabulary) -> list[int]:
+    """Token ids of one word: a heap of (rank, place) and a chain of the places that are left."""
+    n, none, by_pair, size = len(word), -1, v.by_pair, v.size
+    start = v.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+    ranks = v.ranks(start[:-1], start[1:])
+    places = np.flatnonzero(ranks < _NONE)
+    heap = ((ranks[places] << 40) | places).tolist()
+    heapify(heap)
+    rank = np.where(ranks < _NONE, ranks, none).tolist() + [none]
+    token, after, before = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    while heap:
+        entry = heappop(heap)
+        at, key = entry & ((1 << 40) - 1), entry >> 40
+        if rank[at] != key:
+            continue
+        gone = after[at]
+        right = after[gone]
+        token[at], token[gone], rank[gone], after[at] = key, none, none, right
+        if right < n:
+            before[right] = at
+            rank[at] = found = by_pair.get(key * size + token[right], none)
+            if found >= 0:
+                heappush(heap, (found << 40) | at)
+        else:
+            rank[at] = none
+        left = before[at]
+        if left >= 0:
+            rank[left] = found = by_pair.get(token[left] * size + key, none)
+            if found >= 0:
+                heappush(heap, (found << 40) | left)
+    return [t for t in token if t >= 0]
+
+
 def encode_block(texts: list[str], pattern: regex.Pattern, v: Vocabulary) -> tuple[list[list[int]], list[str]]:
     """The words of each text as numbers, and by number the words' ids as decimal texts joined by commas."""
     numbers: dict[str, int] = {}
     split = []
     for text in texts:
         split.append([numbers.setdefault(w, len(numbers)) for w in pattern.findall(text)])
-    ids, offsets = replay([w.encode("utf-8", "surrogatepass") for w in numbers], v)
+    words = [w.encode("utf-8", "surrogatepass") for w in numbers]
+    long = [len(w) > LONG_WORD for w in words]
+    ids, offsets = replay([b"" if apart else w for w, apart in zip(words, long)], v)
     listed = ids.tolist()
     marks = offsets.tolist()
-    spelled = [",".join(map(str, listed[a:b])) for a, b in zip(marks[:-1], marks[1:])]
+    spelled = [
+        ",".join(map(str, replay_long(w, v) if apart else listed[a:b])) for w, apart, a, b in zip(words, long, marks[:-1], marks[1:])
+    ]
     return split, spelled
 
 

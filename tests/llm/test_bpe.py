@@ -9,7 +9,7 @@ import pytest
 import regex
 import tiktoken
 
-from ledgerloom.llm.bpe import decode, encode_block, encode_documents, load
+from ledgerloom.llm.bpe import LONG_WORD, decode, encode_block, encode_documents, load
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -40,6 +40,20 @@ def test_against_library(library):
         assert decode(ids, load(PATH)) == text.encode()
 
 
+@pytest.mark.parametrize("word", ["a" * 150_000, "ab" * 60_000, "0123456789" * 9_000, "漢字" * 20_000, "zqxjk" * 20_000, "abcabd" * 300 + "é" * 999])
+def test_long_words_against_library(library, word):
+    text = f"so {word} it"
+    (ids,) = ours([text])
+    assert ids == library.encode_ordinary(text)
+
+
+def test_words_around_the_long_bound(library):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in range(LONG_WORD - 5, LONG_WORD + 40)]
+    for text, ids in zip(texts, ours(texts), strict=True):
+        assert ids == library.encode_ordinary(text)
+
+
 def test_documents(spark, library):
     rows = [(1, None, "a"), (2, "", "b"), (2, "twice twice", "c"), (2, "twice twice", "c"), (None, "été " * 50_000, "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
