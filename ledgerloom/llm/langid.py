@@ -2,7 +2,7 @@
 
 * **Model.** Byte n-grams (two to four) of words with their borders are counted per language in a fixed number of hashed buckets, together
   with each language's letters per script. It is fitted on at most ``rows_per_language`` labelled documents of each language, chosen by a
-  hash of the id; its size is languages x buckets, whatever the size of the corpus, and only it is broadcast.
+  hash of the id; every label is kept. The model's size is languages x buckets, whatever the size of the corpus, and only it is broadcast.
 * **Words.** A word's script is that of its first letter. Languages that hardly use the script are no candidates for it; the others score
   the mean log likelihood of its n-gram orders. Words without letters, or in a script that no language uses, are neutral.
 * **Viterbi.** A path pays ``penalty`` for each change of language between words; the best path's runs are the spans. Texts of a slice step
@@ -46,7 +46,6 @@ _ORDERS = (2, 3, 4)
 @dataclass(frozen=True)
 class LangParams:
     rows_per_language: int = 2000
-    languages: int = 512  # bound of the model: the most frequent labels
     buckets: int = 1 << 16
     penalty: float = 6.0
     least_script_share: float = 0.002
@@ -115,24 +114,27 @@ class Words:
 
 
 def _trainer(p: LangParams, languages: tuple[str, ...]):
+    """Counts of n-gram buckets, and from ``p.buckets`` on letters by script, of each language in each slice; only what occurs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {name: i for i, name in enumerate(languages)}
-        totals = np.zeros((len(languages), p.buckets + len(SCRIPT_NAMES)))
         for piece in (s for b in batches for s in slices(b, "text")):
             words = Words(piece.column("text"), p.buckets)
             if not words.count:
                 continue
             lang = np.repeat(np.array([number[x] for x in piece.column("lang").to_pylist()]), np.diff(words.first))
-            counts = np.bincount(lang * words.count + words.which, minlength=len(languages) * words.count).reshape(len(languages), -1)
             lettered = words.script >= 0
+            features = [(bucket[lettered[word]], word[lettered[word]]) for bucket, word in words.features()]
             for i in np.unique(lang):
-                totals[i, p.buckets :] += np.bincount(words.script[lettered], (counts[i] * words.letters)[lettered], minlength=len(SCRIPT_NAMES))
-            for bucket, word in words.features():
-                keep = lettered[word]
-                for i in np.unique(lang):
-                    totals[i, : p.buckets] += np.bincount(bucket[keep], counts[i][word[keep]], minlength=p.buckets)
-        i, j = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(totals[i, j])], names=["lang_no", "bucket", "n"])
+                counts = np.bincount(words.which[lang == i], minlength=words.count)
+                total = np.zeros(p.buckets + len(SCRIPT_NAMES))
+                total[p.buckets :] = np.bincount(words.script[lettered], (counts * words.letters)[lettered], minlength=len(SCRIPT_NAMES))
+                for bucket, word in features:
+                    total[: p.buckets] += np.bincount(bucket, counts[word], minlength=p.buckets)
+                j = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(j), i, np.int32)), pa.array(j.astype(np.int32)), pa.array(total[j])], names=["lang_no", "bucket", "n"]
+                )
 
     return run
 
@@ -143,15 +145,15 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, p: LangParams) -> LangModel | None:
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()
+    counts = labelled.groupBy("lang").count().collect()
     sizes = {r["lang"]: r["count"] for r in counts}
     if not sizes:
         return None
     languages = tuple(sorted(sizes))
     limits = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(1_000_000 * min(1.0, p.rows_per_language / n)) + 1)])
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < limits[F.col("lang")]).select("text", "lang")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = chosen.repartition(min(8, tasks)).mapInArrow(_trainer(p, languages), "lang_no int, bucket int, n double")
+    tasks = max(1, sum(min(n, p.rows_per_language) for n in sizes.values()) // 1000)
+    sums = chosen.repartition(min(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_trainer(p, languages), "lang_no int, bucket int, n double")
     table = sums.groupBy("lang_no", "bucket").agg(F.sum("n").alias("n")).toPandas()
     totals = np.zeros((len(languages), p.buckets + len(SCRIPT_NAMES)))
     totals[table["lang_no"], table["bucket"]] = table["n"]
