@@ -4,6 +4,9 @@ Every record hashes into one of a fixed number of slots; the slots' bytes are su
 the slots round robin. A rebalance goes through the slots from heavy to light and moves one to the lightest shard where that lowers the
 heavier of the two; it writes the next version, so that readers of an older one keep their placement until they switch.
 
+A map can be kept under a path: its versions are written one after the other, none is ever replaced, and any of them can be loaded. Sharding with
+a kept map edits its newest version.
+
 Native throughout: one projection of the records, partial sums per slot, a fold over the (fixed number of) slots, and a numbering that
 works per slot. Only the map, whose size is the number of slots, is broadcast.
 
@@ -15,11 +18,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.llm.shared import materialise
+from ledgerloom.sources.masters import path_exists
 
 
 @dataclass(frozen=True)
@@ -71,13 +75,38 @@ def rebalanced(loads: DataFrame, current: DataFrame, p: ShardParams) -> DataFram
     return slots.select(F.explode(F.expr(fold)).alias("h"), (F.col("version") + 1).alias("version")).select("h.vslot", "version", "h.shard")
 
 
-def shard_documents(docs: DataFrame, p: ShardParams = ShardParams()) -> tuple[DataFrame, DataFrame]:
-    """(records with shard and gapless position in it, the versioned map)."""
+def save_version(version: DataFrame, path: str) -> None:
+    """Adds one version of a map to those under ``path``; a version that is there already is an error."""
+    number = version.agg(F.max("version")).first()[0]
+    version.coalesce(1).write.mode("error").parquet(f"{path}/version={number}")
+
+
+def load_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """(vslot, version, shard) of a version of the map under ``path``, the newest unless a number is given."""
+    rows = spark.read.schema("vslot long, shard int, version int").parquet(path).select("vslot", "version", "shard")
+    if number is None:
+        number = rows.agg(F.max("version")).first()[0]
+    return rows.filter(F.col("version") == number)
+
+
+def shard_documents(docs: DataFrame, p: ShardParams = ShardParams(), path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records with shard and gapless position in it, the map's current and next version).
+
+    With a ``path`` the map that is kept there is edited, or begun, and its next version added.
+    """
     records = materialise(record_digests(docs, p), "records")
     loads = materialise(slot_loads(records, p), "slot-loads")
-    first = first_map(loads, p)
-    versions = materialise(first.unionByName(rebalanced(loads, first, p)), "slot-map")
+    if path is None:
+        current = first_map(loads, p)
+    else:
+        if not path_exists(docs.sparkSession, path):
+            save_version(first_map(loads, p), path)
+        current = load_version(docs.sparkSession, path)
+    versions = materialise(current.unionByName(rebalanced(loads, current, p)), "slot-map")
     newest = versions.groupBy("vslot").agg(F.max_by("shard", "version").alias("shard"))
+    if path is not None:
+        top = versions.agg(F.max("version")).first()[0]
+        save_version(versions.filter(F.col("version") == top), path)
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = newest.join(loads, "vslot").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("vslot", "shard", "base")
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
