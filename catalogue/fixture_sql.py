@@ -9,7 +9,8 @@ CTE["sup"] = """
  select s_suppkey as supplier_ord, ('SUP-' || cast(s_suppkey as string)) as supplier_id,
   (split_part('Acme,River,Global,North,Summit,Harbour,Coastal,Metro,Pioneer,Union',',',cast(s_suppkey%10+1 as int)) || ' '
    || split_part('Insight,Marketing,Logistics,Supplies,Systems,Freight,Energy,Print,Security,Catering',',',cast(floor(s_suppkey/10)%10+1 as int)) || ' '
-   || split_part('Sydney,Perth,Hobart,Cairns,Darwin,Geelong,Albury,Dubbo,Mackay,Ballarat',',',cast(floor(s_suppkey/100)%10+1 as int)) || ' Pty Ltd') as name,
+   || split_part('Sydney,Perth,Hobart,Cairns,Darwin,Geelong,Albury,Dubbo,Mackay,Ballarat',',',cast(floor(s_suppkey/100)%10+1 as int))
+   || case when s_suppkey >= 1000 then (' Branch ' || cast(cast(floor(s_suppkey/1000) as int) as string)) else '' end || ' Pty Ltd') as name,
   cast(10000000000+s_suppkey*7919 as string) as abn,
   ('accounts@sup' || cast(s_suppkey as string) || '.example.com') as email,
   ('Trader ' || cast(s_suppkey as string) || '|' || 'TR' || cast(s_suppkey as string)) as aliases

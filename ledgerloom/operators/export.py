@@ -230,6 +230,7 @@ def _number(name: str, value: Column) -> Column:
     return _element(name, plain_number(value))
 
 
+# The element names of the layout and their order.
 def xml_document(payload: str = "payload") -> Column:
     """The shipped XML layout; empty elements are omitted, numbers kept when not null."""
     p, inv, sup, ms = (payload + x for x in (".", ".extracted_invoice.", ".extracted_invoice.supplier.", ".matched_supplier."))

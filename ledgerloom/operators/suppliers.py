@@ -9,6 +9,7 @@ from ledgerloom.functions.scalars import (
     digits_only, email_domain, name_key, registration_key, spread_nulls, truthy,
 )
 from ledgerloom.functions.similarity import token_sort
+from ledgerloom.operators.matchcache import cached_best
 from ledgerloom.operators.simjoin import similar_pairs
 from ledgerloom.params import Params
 from ledgerloom.session import materialise
@@ -109,7 +110,13 @@ def resolve_blocks(blocks: DataFrame, suppliers: DataFrame, params: Params) -> D
     open_names = (
         step.filter("abn_ord is null and name_ord is null and name_key is not null").select("name_key").distinct()
     )
-    fuzzy = fuzzy_best(open_names, suppliers, params.supplier_fuzzy_threshold).select(
+    threshold = params.supplier_fuzzy_threshold
+    scored = lambda keys: fuzzy_best(keys, suppliers, threshold)
+    if params.match_cache:
+        similar = cached_best(open_names, supplier_names(suppliers), threshold, params.match_cache, scored)
+    else:
+        similar = scored(open_names)
+    fuzzy = similar.select(
         "name_key", F.col("supplier_ord").alias("fuzzy_ord"), "score"
     )
     step = step.join(fuzzy, "name_key", "left")

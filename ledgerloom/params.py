@@ -66,6 +66,8 @@ class Params:
     max_future_days: int = 7
     arithmetic_tolerance: str = "0.05"
     supplier_fuzzy_threshold: int = 75
+    #: Where similar-name matches are kept between runs; None keeps none.
+    match_cache: str | None = None
     use_anchoring: bool = True
     line_fuzzy_threshold: int = 65
     po_total_tolerance_pct: str = "0.01"
