@@ -51,6 +51,7 @@ class Forest:
         fresh[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
         self.vectors = np.ascontiguousarray(vectors[fresh])
         self.ids, self.begin = ids, np.append(np.flatnonzero(fresh), len(ids))
+        self.norm = norm
         rest = np.sqrt(np.maximum(norm**2 - (self.vectors**2).sum(axis=1), 0.0))
         codes = self.strings(np.concatenate([self.vectors, rest[:, None]], axis=1))
         self.order = np.argsort(codes, axis=0, kind="stable").T.copy()
@@ -101,11 +102,12 @@ class Forest:
         """(query, vec_id, score): the k best ids of every query."""
         k, out = self.p.k, []
         for own, query, found in zip(query_ids, queries, self.candidates(queries)):
-            scores = self.vectors[found] @ query
             if len(found) > k + 1:  # one entry may be the query itself
-                least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                keep = scores >= least
-                found, scores = found[keep], scores[keep]
+                rough = self.vectors[found] @ query
+                least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+                # the matrix product rounds by where a row stands; what it cannot tell apart stays
+                found = found[rough >= least - 1e-12 * self.norm * np.linalg.norm(query)]
+            scores = inner_products(self.vectors[found], query)
             ids = [self.ids[self.begin[f] : min(self.begin[f + 1], self.begin[f] + k + 1)] for f in found]
             score = np.repeat(scores, [len(i) for i in ids])
             ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
@@ -115,6 +117,14 @@ class Forest:
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
 
 
+def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Summed component by component: equal vectors have equal products, in whatever matrix they stand."""
+    out = np.zeros(len(rows))
+    for component, factor in zip(rows.T, query):
+        out += component * factor
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -161,7 +171,7 @@ def search(vectors: DataFrame, is_query: Column, p: ForestParams = ForestParams(
     place = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     index = rows.dropDuplicates(["vec_id", "vec"]).select(place.alias("shard"), F.lit(False).alias("asks"), "vec_id", "vec")
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asked = rows.filter(is_query).dropDuplicates(["vec_id"]).select(every, F.lit(True).alias("asks"), "vec_id", "vec")
+    asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")).select(every, F.lit(True).alias("asks"), "vec_id", "vec")
     dealt = index.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asks", "vec_id")
     best = dealt.mapInArrow(_searcher(float(norm) ** 0.5, p), "query_id long, vec_id long, score double")
     once = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -61,6 +61,21 @@ def test_exact_with_ties_copies_and_norms(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def test_equal_vectors_rank_by_id_across_shards(spark):
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(12, 64))
+    x = kinds[rng.integers(0, 12, 700)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = collected(search(df, F.col("vec_id") % 20 == 0, ForestParams(share=100.0, shard_rows=60, k=100)))
+    assert len(got) == 35
+    for found in got.values():
+        assert found == sorted(found, key=lambda r: (-r[1], r[0]))
+        by_vector = {}
+        for i, score in found:
+            by_vector.setdefault(x[i].tobytes(), set()).add(score)
+        assert all(len(scores) == 1 for scores in by_vector.values())
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in search(df, F.col("vec_id") % 20 == 0).collect()} == {(0, 1, 20, 0.0), (20, 1, 0, 0.0)}
