@@ -52,12 +52,22 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_measure, "doc_id long, source string, cluster long, length long")
 
 
+#: Open bins in a block of the order; a block that grows to twice as many is cut.
+_BLOCK = 64
+
+
 class Bins:
-    """Open bins by rising room. A bin is (room, number); its bitmaps are kept by number."""
+    """Open bins by rising room. A bin is (room, number); its bitmaps are kept by number.
+
+    The order is held in blocks. Of each block the bits that all its bins carry are known, so the search passes over a block whose bins all
+    conflict in one step, as where a source is in every bin.
+    """
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.open: list[tuple[int, int]] = []
+        self.blocks: list[list[tuple[int, int]]] = []
+        self.tops: list[tuple[int, int]] = []
+        self.common: list[tuple[int, int]] = []
         self.sources: list[int] = []
         self.clusters: list[int] = []
         self.fill: list[int] = []
@@ -68,23 +78,55 @@ class Bins:
         self.fill.append(0)
         return len(self.fill) - 1
 
-    def place(self, size: int, source: int, cluster: int) -> int:
-        """The tightest open bin with room for ``size`` and neither bit set, or a new one."""
-        sources, clusters, open_ = self.sources, self.clusters, self.open
-        at = bisect_left(open_, (size, -1))
-        while at < len(open_):
-            number = open_[at][1]
-            if not (sources[number] & source or clusters[number] & cluster):
-                room = open_.pop(at)[0]
-                break
-            at += 1
+    def _changed(self, b: int) -> None:
+        block = self.blocks[b]
+        if not block:
+            del self.blocks[b], self.tops[b], self.common[b]
+            return
+        sources = clusters = -1
+        for _, number in block:
+            sources &= self.sources[number]
+            clusters &= self.clusters[number]
+        self.tops[b], self.common[b] = block[-1], (sources, clusters)
+
+    def _insert(self, entry: tuple[int, int]) -> None:
+        b = min(bisect_left(self.tops, entry), len(self.blocks) - 1)
+        if b < 0:
+            self.blocks.append([entry])
+            self.tops.append(entry)
+            self.common.append((0, 0))
+            b = 0
         else:
-            number, room = self.new(), self.capacity
-        sources[number] |= source
-        clusters[number] |= cluster
+            insort(self.blocks[b], entry)
+        if len(self.blocks[b]) >= 2 * _BLOCK:
+            for column, value in ((self.blocks, self.blocks[b][_BLOCK:]), (self.tops, entry), (self.common, (0, 0))):
+                column.insert(b + 1, value)
+            del self.blocks[b][_BLOCK:]
+            self._changed(b + 1)
+        self._changed(b)
+
+    def _take(self, size: int, source: int, cluster: int) -> tuple[int, int] | None:
+        """The tightest open bin with room for ``size`` and neither bit set, taken out of the order."""
+        for b in range(bisect_left(self.tops, (size, -1)), len(self.blocks)):
+            if self.common[b][0] & source or self.common[b][1] & cluster:
+                continue
+            block = self.blocks[b]
+            for at in range(bisect_left(block, (size, -1)), len(block)):
+                number = block[at][1]
+                if not (self.sources[number] & source or self.clusters[number] & cluster):
+                    entry = block.pop(at)
+                    self._changed(b)
+                    return entry
+        return None
+
+    def place(self, size: int, source: int, cluster: int) -> int:
+        """The number of the tightest compatible bin, a new one if there is none."""
+        room, number = self._take(size, source, cluster) or (self.capacity, self.new())
+        self.sources[number] |= source
+        self.clusters[number] |= cluster
         self.fill[number] += size
         if room > size:
-            insort(open_, (room - size, number))
+            self._insert((room - size, number))
         return number
 
 

@@ -1,6 +1,7 @@
 """Packing: capacity and conflicts, best fit against a plain search, nothing lost, edge cases."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 from ledgerloom.llm.packing import PackParams, best_fit, pack
@@ -31,6 +32,20 @@ def plain(rows, capacity):
     return out
 
 
+def test_a_shard_of_one_source_takes_no_square_of_its_rows():
+    rows = [(i, "hot" if i % 50 else "other", None, 900 - i // 10) for i in range(8192)]
+    start = time.time()
+    packed = pack(rows, 2048)
+    assert time.time() - start < 3
+    assert len({n for *_, n, _ in packed}) >= 8000
+
+
+def test_many_bins_with_few_conflicts():
+    rng = random.Random(4)
+    rows = sorted(((i, rng.choice("abcdefgh"), rng.choice([None, rng.randrange(40)]), rng.randrange(1, 60)) for i in range(1500)), key=lambda r: (-r[3], r[0]))
+    assert [(d, b, n) for d, _, b, _, n, _ in pack(rows, 100)] == plain(rows, 100)
+
+
 def test_tightest_compatible_bin():
     rng = random.Random(1)
     for _ in range(30):
