@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 
@@ -58,7 +59,7 @@ def test_prefilters_lose_nothing(spark):
     templates, want = Templates(TEMPLATES, LicenseParams()), {}
     for doc_id, text in rows:
         words = hashed_words(pa.array([text]))[0].tolist()
-        want[doc_id] = [(templates.names[t], *f) for t in range(len(templates.names)) for f in templates.finds(t, words)]
+        want[doc_id] = [(templates.labels[t], *f) for t in range(len(templates.labels)) for f in templates.finds(t, words)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")
     got = {r.doc_id: [tuple(m) for m in r.matches] for r in scan_licenses(df).collect()}
     assert got == want and sum(map(bool, got.values())) > 80
@@ -114,3 +115,36 @@ def test_a_notice_inside_another_text_counts():
     own = TEMPLATES["MIT/text"].split()
     text = " ".join([*own[:90], TEMPLATES["CC-BY-NC-4.0/line"], *own[90:]])
     assert {templates.names[m[0]] for m in templates.scan(*hashed_words(pa.array([text])))[0]} == {"MIT/grant", "MIT/text", "CC-BY-NC-4.0/line"}
+
+
+def best_of(templates, text):
+    found = templates.scan(*hashed_words(pa.array([text])))[0]
+    return min(found, key=lambda m: (-m[1], -templates.sizes[m[0]], m[0], m[2]))
+
+
+def test_licenses_with_added_words_go_by_their_own_names():
+    templates = Templates(TEMPLATES, LicenseParams())
+    affero = re.sub(r"(?<!Affero )General Public License", "Affero General Public License", TEMPLATES["GPL-3.0/text"], flags=re.I)
+    label, coverage, _, _, extra = best_of(templates, affero)
+    assert templates.labels[label] == "AGPL-3.0/text" and coverage > 0.99 and extra > 5
+    clause = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software."
+    own = TEMPLATES["BSD-3-Clause/text"].split()
+    for at in (len(own) // 3, len(own) // 2):
+        label, _, _, _, extra = best_of(templates, " ".join([*own[:at], clause, *own[at:]]))
+        assert templates.labels[label] == "BSD-4-Clause/text" and extra > 15
+    for name in ("GPL-3.0/text", "BSD-3-Clause/text"):
+        label, coverage, _, _, extra = best_of(templates, f"advertising affero affero {TEMPLATES[name]} affero advertising")
+        assert (templates.labels[label], coverage, extra) == (name, 1.0, 0)
+
+
+def test_joined_licenses_take_time_by_their_length():
+    templates = Templates(TEMPLATES, LicenseParams())
+    for name in ("LGPL-2.1/text", "GPL-2.0/text"):
+        if name not in TEMPLATES:
+            continue
+        for times in (1, 2, 4, 8):
+            words = hashed_words(pa.array([f"{TEMPLATES[name]}\n" * times]))
+            start = time.time()
+            found = [m for m in templates.scan(*words)[0] if templates.labels[m[0]] == name]
+            assert len(found) == times and all(m[1] == 1.0 and m[4] == 0 for m in found)
+            assert time.time() - start < 0.5 * times, (name, times, time.time() - start)
