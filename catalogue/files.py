@@ -62,17 +62,18 @@ def po_file(spark, sf):
 
 
 @query("internal_companies", """
- select 'N' || n_nationkey as id, n_name as name, cast(10000000000 + n_nationkey as varchar) as abn, cast(null as varchar) as email,
-  case when n_nationkey%2=0 then lower(n_name) else '' end as aliases from nation""")
+ select 'C' || c_custkey as id, c_name as name, cast(10000000000 + c_custkey as varchar) as abn, cast(null as varchar) as email,
+  case when c_custkey%2=0 then lower(c_name) else '' end as aliases from customer""")
 def internal_companies(spark, sf):
-    """JSON records with a missing and an unknown field."""
-    path, rows = folder(spark), I.base(spark, sf, "nation")
-    key = F.col("n_nationkey")
-    aliases = F.when(key % 2 == 0, F.array(F.lower("n_name")))
-    out = rows.select(F.lit(7).alias("rank"), aliases.alias("aliases"), F.concat(F.lit("N"), key.cast("string")).alias("id"), F.col("n_name").alias("name"),
-                      (key + F.lit(10_000_000_000)).cast("string").alias("abn"))
-    # one JSON array a file, as the format wants it
-    out.groupBy().agg(F.to_json(F.collect_list(F.struct(*out.columns))).alias("value")).write.text(path)
+    """JSON records with a missing and an unknown field; every file is one array of up to 500 companies, as the format wants it."""
+    path, rows = folder(spark), I.base(spark, sf, "customer")
+    key = F.col("c_custkey")
+    aliases = F.when(key % 2 == 0, F.array(F.lower("c_name")))
+    out = rows.select(F.floor(key / 500).alias("file"), F.struct(
+        F.lit(7).alias("rank"), aliases.alias("aliases"), F.concat(F.lit("C"), key.cast("string")).alias("id"), F.col("c_name").alias("name"),
+        (key + F.lit(10_000_000_000)).cast("string").alias("abn")).alias("company"))
+    arrays = out.groupBy("file").agg(F.to_json(F.collect_list("company")).alias("value")).select("value")
+    arrays.write.option("maxRecordsPerFile", 1).text(path)
     return M.internal_companies(spark, f"{path}/*.txt").select("id", "name", "abn", "email", F.array_join("aliases", "|").alias("aliases"))
 
 
