@@ -142,6 +142,56 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def _entry(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar)::varchar || ':' || {value}::varchar, '-')"
+
+
+_BEFORE_TEXT = " || ".join(_entry(c) for c in ("doc_id", "source", "lang", "n_chars"))
+OP13_SQL = f"""
+with recursive bits as (
+    select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t
+    from range(256) r(i)
+), docs as (
+    select row_number() over () as rid, *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+           list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'), lambda x: ('0x' || x)::bigint) as b
+    from documents
+), leaves as (
+    select rid, doc_id, source, leaf, case when doc_id is not null and crc % 5 = 0 then other else leaf end as now,
+           row_number() over (partition by source order by doc_id nulls first, leaf, rid) - 1 as pos, count(*) over (partition by source) as n
+    from (select *, sha256({_BEFORE_TEXT} || {_entry('text')}) as leaf, sha256({_BEFORE_TEXT} || {_entry('low')}) as other,
+                 xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) as crc
+          from docs, bits)
+), nodes(level, source, pos, n, h) as (
+    select 0, source, pos, n, leaf from leaves
+    union all
+    select level + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by level, source, pos // 16, n
+), subroots as (
+    select source, level, h, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1
+), tops(level, pos, n, h) as (
+    select 0, pos, n, h from subroots
+    union all
+    select level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by level, pos // 16, n
+), places as (
+    select l.rid, d.level as step, d.pos, l.pos // (16 ** d.level)::bigint as own, d.h
+    from leaves l join nodes d on d.source is not distinct from l.source and d.n > 1 and d.pos // 16 = l.pos // (16 ** (d.level + 1))::bigint
+    union all
+    select l.rid, s.level + d.level, d.pos, s.pos // (16 ** d.level)::bigint, d.h
+    from leaves l join subroots s on s.source is not distinct from l.source join tops d on d.n > 1 and d.pos // 16 = s.pos // (16 ** (d.level + 1))::bigint
+), steps as (
+    select rid, step, coalesce(string_agg(h, '' order by pos) filter (pos < own), '') as lft, coalesce(string_agg(h, '' order by pos) filter (pos > own), '') as rgt
+    from places group by rid, step
+), fold(rid, step, now) as (
+    select rid, 0, now from leaves
+    union all
+    select f.rid, f.step + 1, sha256(lft || now || rgt) from fold f join steps s on s.rid = f.rid and s.step = f.step
+), folded as (select rid, arg_max(now, step) as folded_root from fold group by rid),
+proofs as (select rid, sha256(string_agg(lft || rgt, '' order by step)) as proof_sha256 from steps group by rid)
+select l.doc_id, l.leaf, s.h as subroot, r.h as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, f.folded_root, f.folded_root = r.h as verified
+from leaves l join subroots s on s.source is not distinct from l.source join (select h from tops where n = 1) r on true
+join folded f on f.rid = l.rid left join proofs p on p.rid = l.rid
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -164,4 +214,4 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
-ORACLES = {"op10_sharding": OP10_SQL}
+ORACLES = {"op10_sharding": OP10_SQL, "op13_merkle_manifest": OP13_SQL}

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.periodic import RunParams, collapse_runs, find_runs
+from ledgerloom.llm.queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -110,3 +113,14 @@ def test_texts_and_runs_in_full(spark):
 
 def test_empty_table(spark):
     assert collapse_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="given tables absent")
+def test_query_on_given_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op12_periodic_runs"](spark, SF).collect()
+    # texts of up to some thousand words; every lag of the longer ones would take the plain search minutes
+    plain = {d: expected(d, t, True) for d, t in docs if len(WORD.findall(t or "")) < 2500}
+    assert len(got) == len(docs) and len(plain) > 0.9 * len(docs)
+    assert all(tuple(r) == plain[r.doc_id] for r in got if r.doc_id in plain)
+    assert sum(r.n_runs > 0 for r in got) > len(docs) / 20

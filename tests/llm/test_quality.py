@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality as Q
 from ledgerloom.llm.boosting import BoostParams, train
+from ledgerloom.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.1"
@@ -130,3 +131,14 @@ def test_held_out_accuracy(spark):
     n = {(r.quality, r.kept): r["count"] for r in n}
     assert n.get((1, False), 0) <= 0.01 * (n[1, True] + n.get((1, False), 0))
     assert n.get((0, True), 0) <= 0.1 * (n[0, False] + n.get((0, True), 0))
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="given tables absent")
+def test_query_on_given_documents(spark):
+    docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op11_quality_rules"](spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        s = docs[r.doc_id]
+        failed = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+        assert tuple(r[c] for c in BASE) == tuple(s[c] for c in BASE) and r.base_failed == failed and r.kept == (not failed and r.score >= 0.5)
