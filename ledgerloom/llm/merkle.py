@@ -15,6 +15,8 @@ What remains of the sources, in their order, makes the tree on top in the same w
   are copied where the block is, and the version goes on as a row that meets the siblings above its block and copies the
   upper ancestors there. ``copied`` holds a version's own digests, from leaf to root. Versions of one block meet one row of siblings, so a source
   that holds most versions spreads over its blocks. A row that is not altered has the original version.
+* **Folds.** Every row's root is recomputed where its block is, from the altered leaf or else its own and the original siblings within and above the
+  block. It is never taken over from the tree, so a damaged digest or path shows up in rows that nobody altered, too.
 
 Defined cases: null columns are ``-``; a null source is a source of its own and comes first; a null doc_id comes first in its source and is never altered by
 the query; equal doc_ids are ordered by their leaves; repeated rows are leaves of their own; an empty table gives no rows; other columns are
@@ -106,6 +108,13 @@ def siblings(level: list[str], i: int) -> tuple[str, str]:
     return "".join(level[start:i]), "".join(level[i + 1 : start + ARITY])
 
 
+def folded(node: str, path: list[dict]) -> str:
+    """The root that a node gives with the siblings ``path`` above it."""
+    for step in path:
+        node = _hash(step["l"] + node + step["r"])
+    return node
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
     """((tree, block), its rows) of batches sorted by tree and block; at most one block is held."""
     key, rows = None, []
@@ -157,10 +166,10 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prover(ids: pa.DataType):
-    """As ``_descend`` over leaves, with doc_id and altered: proofs, and the copied nodes within the block."""
+    """As ``_descend`` over leaves, with doc_id and altered: proofs, every row's folded root, and the copied nodes within the block."""
     schema = pa.schema([
         ("tree", pa.string()), ("block", pa.int64()), ("doc_id", ids), ("leaf", pa.string()), ("proof_sha256", pa.string()),
-        ("copied", pa.list_(pa.string())),
+        ("folded_root", pa.string()), ("copied", pa.list_(pa.string())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +182,11 @@ def _prover(ids: pa.DataType):
                 inner = len(levels) > 1
                 for i, row in enumerate(rows):
                     proof = _hash("".join(siblings(levels[0], i)) + above[i // ARITY]) if inner else _hash(above[0])
-                    copied = None
-                    if row[7] is not None:
-                        copied = [row[7]]
-                        for k, level in enumerate(levels[:-1]):
-                            left, right = siblings(level, i // ARITY**k)
-                            copied.append(_hash(left + copied[-1] + right))
-                    yield tree, block, row[6], row[4], proof, copied
+                    own = [row[4] if row[7] is None else row[7]]
+                    for k, level in enumerate(levels[:-1]):
+                        left, right = siblings(level, i // ARITY**k)
+                        own.append(_hash(left + own[-1] + right))
+                    yield tree, block, row[6], row[4], proof, folded(own[-1], head[5]), None if row[7] is None else own
 
         yield from _in_batches(rows_out(), schema)
 
@@ -249,14 +256,15 @@ def build(rows: DataFrame) -> Manifest:
 
 
 def prove(manifest: Manifest) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof_sha256 and ``copied`` (null: not altered; else the version's own digests, from leaf to root)."""
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root (recomputed from the altered, else own, leaf and the original siblings) and
+    ``copied`` (null: not altered; else the version's own digests, from leaf to root)."""
     top = manifest.sources.select(F.col("source").alias("tree"), "path")
     above = paths_of(manifest.layers, top)
     kind = manifest.leaves.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     dealt = with_paths(manifest.leaves.select("tree", "pos", "total", "digest", "doc_id", "altered"), above)
-    ddl = f"tree string, block long, doc_id {kind.simpleString()}, leaf string, proof_sha256 string, copied array<string>"
+    ddl = f"tree string, block long, doc_id {kind.simpleString()}, leaf string, proof_sha256 string, folded_root string, copied array<string>"
     proofs = materialise(dealt.mapInArrow(_prover(to_arrow_type(kind)), ddl), "manifest-proofs")
     names = manifest.sources.select("source", "subroot")
     rows = proofs.join(names, proofs["tree"].eqNullSafe(names["source"])).withColumn("root", F.lit(manifest.root)).drop("source")
@@ -265,14 +273,12 @@ def prove(manifest: Manifest) -> DataFrame:
     grown = F.aggregate(
         "path", F.col("copied"), lambda own, x: F.concat(own, F.array(F.sha2(F.concat(x["l"], F.element_at(own, -1), x["r"]).cast("binary"), 256)))
     )
-    columns = ["doc_id", F.col("tree").alias("source"), "leaf", "subroot", "root", "proof_sha256", "copied"]
+    columns = ["doc_id", F.col("tree").alias("source"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "copied"]
     versions = rows.filter("copied is not null").join(upper, same).withColumn("copied", grown)
     return rows.filter("copied is null").select(*columns).unionByName(versions.select(*columns))
 
 
 def manifest_rows(docs: DataFrame, altered: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
-    """``prove`` of ``docs`` with folded_root (of the row's version) and verified (whether that is the root)."""
+    """``prove`` of ``docs`` with verified (whether the folded root is the root)."""
     where = F.lit(False) if where is None else where
-    rows = prove(build(leaf_rows(docs, altered or {}, where)))
-    folded = F.coalesce(F.element_at("copied", -1), F.col("root"))
-    return rows.withColumn("folded_root", folded).withColumn("verified", F.col("folded_root") == F.col("root"))
+    return prove(build(leaf_rows(docs, altered or {}, where))).withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -116,3 +116,20 @@ def test_versions_hold_only_copied_nodes(spark):
     assert {(r.source, r.doc_id % 2, len(r.copied or [])) for r in out} == {("a", 0, 5), ("a", 1, 0), ("b", 0, 4), ("b", 1, 0)}
     versions = [r for r in out if r.copied]
     assert len({r.copied[-1] for r in versions}) == len({(r.source, r.doc_id) for r in versions}) and all(r.copied[-1] != r.root for r in versions)
+
+
+def test_untouched_rows_are_folded_too(spark, monkeypatch):
+    """With one wrong sibling in the stored paths of one source no row of that source verifies, altered or not."""
+    from ledgerloom.llm import merkle
+
+    def damaged(rows):
+        tree = build(rows)
+        wrong = F.transform("path", lambda x: F.struct(F.lit("0" * 64).alias("l"), x["r"].alias("r")))
+        tree.sources = tree.sources.withColumn("path", F.when(F.col("source") == "b", wrong).otherwise(F.col("path")))
+        return tree
+
+    monkeypatch.setattr(merkle, "build", damaged)
+    rows = corpus(5, {"a": 40, "b": 20})
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    out = manifest_rows(df).collect()
+    assert {(r.source, r.verified) for r in out} == {("a", True), ("b", False)}
