@@ -109,3 +109,31 @@ def test_stream_in_two_runs_equals_one(spark, tmp_path):
     twice, n2 = run(tmp_path / "two", docs[:1], docs)
     assert once == twice and n1 == n2 == 2
     assert [r[:4] for r in once] == [("x", "needs_review", "I1", "Acme Supplies Pty Ltd"), ("y", "needs_review", None, None)]
+
+
+def test_order_lines_are_joined_once_and_read_by_the_other_views(spark, tmp_path):
+    """Other views read the stored order lines; they do not join lineitem and part again. Row by row views are not written."""
+    import datetime as dt
+
+    from catalogue import inputs as I
+    from ledgerloom.session import written
+
+    at = dt.datetime(1998, 1, 1)
+    tables = {
+        "supplier": ([(1, "S1")], "s_suppkey long, s_name string"),
+        "part": ([(5, "red bolt", "Brand#1", "SMALL")], "p_partkey long, p_name string, p_brand string, p_type string"),
+        "orders": ([(10, 3, at), (11, 3, at)], "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+        "lineitem": (
+            [(10, 5, 1, n, 2.0, 20.0, at) for n in (1, 2)],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert I.lines(spark, str(tmp_path)).count() == 2
+    before = set(written(spark))
+    assert I.invoices(spark, str(tmp_path)).select("stem", "subtotal").collect()
+    new = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in written(spark) if p not in before]
+    assert sorted(new) == ["input-hdr", "input-poh"]
+    read = {f.rsplit("/", 2)[1] for f in I.sql_view(spark, str(tmp_path), "hdr").inputFiles()}
+    assert "lineitem.parquet" not in read and "part.parquet" not in read
