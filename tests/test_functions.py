@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import invoices as D
 from ledgerloom.operators.maintenance import duplicate_warnings
 from ledgerloom.functions import scalars as S
 from ledgerloom.functions.similarity import lcs_block, lcs_length, lcs_native, lcs_pairs, token_sort
@@ -99,6 +100,20 @@ def test_response_cleanup(spark):
     assert [r[0] for r in df.select(S.clean_response(F.col("r"))).collect()] == ['{"a": [1, 2]}', '{"a": 1}', None]
 
 
+def test_a_response_is_parsed_once_however_often_it_is_read(spark, tmp_path):
+    item = '{"quantity": 2, "total": 5}'
+    rows = [("a", '```\n{"total": 3, "line_items": [%s, %s]}\n``` \n' % (item, item)), ("b", "none"), ("c", None), ("d", '```{"total": 1}'), ("e", "{}```"), ("e", "{}```"), (None, "{}")]
+    spark.createDataFrame(rows, "stem string, response string").write.parquet(str(tmp_path / "r"))
+    parsed = D.parse_responses(spark.read.parquet(str(tmp_path / "r")))
+    reads = (D.response_invoices(parsed), D.response_lines(parsed), D.parse_failures(parsed))
+    for df in reads:
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    invoices, lines, failures = (sorted(df.collect(), key=str) for df in reads)
+    assert sorted(((r.stem, r.total and float(r.total)) for r in invoices), key=str) == sorted([("a", 3.0), ("d", 1.0), ("e", None), ("e", None), (None, None)], key=str)
+    assert [(r.stem, r.line_index, float(r.quantity)) for r in lines] == [("a", 0, 2.0), ("a", 1, 2.0)]
+    assert [r.stem for r in failures] == ["b", "c"]
+
+
 def test_a_name_that_most_suppliers_share_meets_each_request_once(spark):
     master = spark.createDataFrame([(i, f"S{i}", "Same Pty" if i % 10 else "Other", f"{i % 7}1") for i in range(500)], "ord int, id string, name string, abn string")
     asked = spark.createDataFrame([(i, " same PTY ", "" if i % 2 else "6 1") for i in range(100)], "ord int, name string, abn string")
