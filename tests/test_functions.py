@@ -11,6 +11,7 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.functions.similarity import lcs_block, lcs_length, lcs_native, lcs_pairs, token_sort
 from ledgerloom.operators.ordinals import numbered, running_sum
 from ledgerloom.operators.simjoin import similar_pairs
+from ledgerloom.session import materialise
 
 
 def lcs(a, b):
@@ -123,3 +124,8 @@ def test_a_name_that_most_suppliers_share_meets_each_request_once(spark):
     assert got == {i: "S1" for i in range(100)}
     joined = [n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in n]
     assert len(joined) == 2
+
+
+def test_intermediate_tables_are_written_small(spark):
+    files = materialise(spark.range(3), "small").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
