@@ -1,13 +1,16 @@
 """Kernels and scalar functions against plain restatements."""
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import invoices as D
+from ledgerloom.operators.export import nested_lines
 from ledgerloom.operators.maintenance import duplicate_warnings
 from ledgerloom.functions import scalars as S
+from ledgerloom.functions import similarity as SIM
 from ledgerloom.functions.similarity import lcs_block, lcs_length, lcs_native, lcs_pairs, token_sort
 from ledgerloom.operators.ordinals import numbered, running_sum
 from ledgerloom.operators.simjoin import similar_pairs
@@ -54,6 +57,44 @@ def test_block_kernel_keeps_every_best():
     assert set(best) <= set(every) and len(best) < len(every)
 
 
+def test_best_partners_are_found_over_all_tiles_and_few_pairs_are_scored(monkeypatch):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("aeinorst") for _ in range(6)) for _ in range(12)] + ["é漢字", "Ünal"]
+    b = sorted({" ".join(rnd.sample(words, 4)) for _ in range(900)})
+    a = sorted({t.replace("i", "") for t in b[::3]} | {"zzz", "q", b[5]})
+    monkeypatch.setattr(SIM, "_TILE", 1 << 12)
+    scored = []
+    monkeypatch.setattr(SIM, "lcs_pairs", lambda x, y: scored.append(len(x)) or lcs_pairs(x, y))
+    got = {}
+    for i, j, n in zip(*(c.tolist() for c in SIM.best_block(a, b, 75))):
+        assert n == lcs(a[i], b[j]) and 200 * n >= 75 * (len(a[i]) + len(b[j]))
+        got.setdefault(i, set()).add((n / (len(a[i]) + len(b[j])), j))
+    for i in rnd.sample(range(len(a)), 25):
+        ratios = [lcs(a[i], y) / (len(a[i]) + len(y)) for y in b]
+        best = {(r, j) for j, r in enumerate(ratios) if r == max(ratios) and r >= 75 / 200}
+        assert best == {h for h in got.get(i, ()) if h[0] == max(got[i])[0]}
+    assert sum(scored) < len(a) * len(b) / 10
+    assert all(len(c) == 0 for c in SIM.best_block(["abc"], ["xyz"], 75))
+
+
+def test_words_are_sorted_without_interpreted_lambdas(spark):
+    rows = ["b\ta  C\n\u00a0x", "", " \r\x0b\x0c ", None, "É é z\u2003y b a", "\U0001f600 \uffee"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    out = df.select(token_sort(F.col("t")).alias("s"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    spaces = re.compile("[ \t\n\x0b\f\r]+")
+    want = [None if r is None else " ".join(sorted((w for w in spaces.split(r.lower()) if w), key=lambda w: w.encode())) for r in rows]
+    assert [r.s for r in out.collect()] == want
+
+
+def test_lines_of_a_payload_are_ordered_without_interpreted_lambdas(spark):
+    rows = [("a", 1, "x"), ("a", 0, "y"), ("b", None, "z"), ("a", 1, None), (None, 2, "w"), ("b", 3, "v"), ("a", 0, "y")]
+    out = nested_lines(spark.createDataFrame(rows, "stem string, line_index long, description string"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.stem: [tuple(i) for i in r.line_items] for r in out.collect()} == {
+        "a": [(0, "y"), (0, "y"), (1, None), (1, "x")], "b": [(None, "z"), (3, "v")], None: [(2, "w")]}
+
+
 def test_native_and_udf_agree(spark):
     rnd = random.Random(5)
     rows = list(zip(texts(rnd, 30, "abc", 8), texts(rnd, 30, "abc", 8)))
