@@ -69,3 +69,23 @@ def test_an_index_that_comes_twice_gives_every_combination(spark):
     found = O.match_lines(links, lines, stock, Params())
     assert sorted(r.p for r in O.assigned(found).select(F.col("c.po_pos").alias("p")).collect()) == [0, 0, 1, 1]
     assert O.line_matches(found).count() == 8
+
+
+def test_what_is_shown_passes_as_plain_columns(spark):
+    """A struct's size in a batch is worked out anew for every row, so fields pass one by one: those of a line, then those of an order line."""
+    rows = document("d")
+    names = [*NAMES[:8], "mine_a", "mine_b", "theirs_a", "theirs_b", "theirs_c"]
+    wide = [(*r[:8], r[8], r[8] and r[8] * 2, r[9], r[9] and r[9] * 2, None) for r in rows]
+    types = [*TYPES[:8], *[pa.string()] * 5]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names) for part in (wide[:3], wide[3:6], wide[6:])]
+    got = [tuple(r.values()) for b in A._pass(iter(batches), A.similar(65), 2) for r in b.to_pylist()]
+    assert got == [(*r[:7], r[7], r[7] and r[7] * 2, r[8], r[8] and r[8] * 2, None) for r in results([batch(rows)])]
+
+    lines = spark.createDataFrame([("a", 0, False, ("L", 1))], "stem string, line_index long, offered boolean, mine struct<sku: string, n: int>")
+    stock = spark.createDataFrame([("a", 0, 1, ("L",)), ("a", 1, 1, (None,))], "stem string, po_pos long, link long, theirs struct<sku: string>")
+    found = A.assign(lines, stock, None, lambda df: df.withColumn("sku", F.coalesce("mine.sku", "theirs.sku")).withColumn("text", F.lit(None).cast("string")), A.similar(65))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    assert not any(plan.children().head().schema().apply(i).dataType().typeName() == "struct" for i in range(plan.children().head().schema().length()))
+    assert {(r.role, r.po_pos, r.mine.sku, r.mine.n, r.theirs.sku) for r in found.collect()} == {(A.BOTH, 0, "L", 1, "L"), (A.LEFT, 1, None, None, None)}
