@@ -127,3 +127,20 @@ def test_offsets_of_the_running_text(spark):
     elements = spark.createDataFrame([("s", i, t) for i, t in enumerate(["ab", "", "c"])], "stem string, el_idx long, text string")
     assert sorted(tuple(r) for r in offsets(elements).select("el_idx", "start", "end").collect()) == [(0, 0, 3), (1, 3, 4), (2, 4, 6)]
     assert offsets(elements.filter(F.lit(False))).count() == 0
+
+
+def test_only_grams_looked_for_leave_the_chunks(spark, monkeypatch):
+    from ledgerloom.operators import textsearch
+
+    monkeypatch.setattr(textsearch, "STRETCH", 2)
+    monkeypatch.setattr(textsearch, "STRETCHES", 3)
+    texts = {("s", RAW, c): f"chunk {c} of s" for c in range(15)} | {("t", LETTERS, 0): "chunk0oft"}
+    pieces = spark.createDataFrame([(*k, 0, t, True, 0) for k, t in texts.items()], "stem string, kind int, chunk long, place long, text string, last boolean, start long")
+    grams = {k: {int(g) for g in gram_codes(t + ("\0" if k[1] == RAW else ""), 5)} for k, t in texts.items()}
+    # of each document a few, one of another document's and one of none's
+    asked = {("s", RAW, g) for g in sorted(set().union(*[v for k, v in grams.items() if k[0] == "s"]))[::3]} | {("s", RAW, 7), ("u", RAW, 7)}
+    asked |= {("t", LETTERS, g) for g in [*sorted(grams["t", LETTERS, 0])[:2], *sorted(grams["s", RAW, 0])[:2]]}
+    wanted = spark.createDataFrame(sorted(asked), "stem string, kind int, gram long")
+    found = sorted(map(tuple, textsearch._gram_index(pieces, wanted, (5,)).collect()))
+    assert found == sorted((*k, g) for k, v in grams.items() for g in v if (k[0], k[1], g) in asked)
+    assert len(found) > 20 and {s for s, *_ in found} == {"s", "t"}
