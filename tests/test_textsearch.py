@@ -144,3 +144,10 @@ def test_only_grams_looked_for_leave_the_chunks(spark, monkeypatch):
     found = sorted(map(tuple, textsearch._gram_index(pieces, wanted, (5,)).collect()))
     assert found == sorted((*k, g) for k, v in grams.items() for g in v if (k[0], k[1], g) in asked)
     assert len(found) > 20 and {s for s, *_ in found} == {"s", "t"}
+
+
+def test_elements_and_values_without_a_document_meet(spark):
+    elements = spark.createDataFrame([(None, 0, "q a"), (None, 1, "b"), ("s", 0, "b")], "stem string, el_idx long, text string")
+    wanted = spark.createDataFrame([(None, "b"), (None, "b"), (None, "z"), ("s", "b"), ("t", "b")], "stem string, val string")
+    found = first_places(elements, wanted, lambda v: [(0, RAW, v)]).collect()
+    assert sorted(((r.stem, r.els) for r in found), key=str) == [("s", [0]), (None, [1])]
